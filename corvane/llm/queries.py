@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix_plan
+from .near_dedup import near_classes
 from .packing import pack
 from .sharding import shard_by_bytes
 
@@ -28,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_mixing": op4_mixing,
+    "op6_near_dedup": op6_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
