@@ -15,6 +15,7 @@ from .near_dedup import near_classes
 from .packing import pack
 from .sharding import shard_by_bytes
 from .vector_search import search
+from .warc_zip import round_trip
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +28,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -54,6 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op3_vector_search": op3_vector_search,
     "op4_mixing": op4_mixing,
     "op6_near_dedup": op6_near_dedup,
