@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import narrow, table
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .mixing import mix_plan
 from .near_dedup import near_classes
 from .packing import pack
+from .pii import pseudonymise
 from .sharding import shard_by_bytes
 from .vector_search import search
 from .warc_zip import round_trip
@@ -41,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = narrow(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    out = pseudonymise(docs, key="corvane pseudonyms")
+    return out.select("doc_id", "text", F.to_json("pii").alias("pii"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_vector_search": op3_vector_search,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_near_dedup": op6_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
