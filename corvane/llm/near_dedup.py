@@ -32,7 +32,7 @@ COORDINATES = BANDS * ROWS
 #: Standard deviations that a pair's agreement may lie below the similarity's.
 SLACK = 4.0
 #: Members of a band compared in one group; ids broadcast at most, beyond that the join shuffles.
-BLOCK, BROADCAST_IDS = 1024, 500_000
+BLOCK, BROADCAST_IDS = 512, 500_000
 TEXTS = 400
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -174,36 +174,86 @@ def _similar(similarity: float):
     return run
 
 
-def _across(least: int):
-    """Pairs of a block pair's members, of different classes, that agree on enough coordinates."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id")
-        ids, classes, side = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
-        signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
-        a, b = [], []
-        for i in range(len(rows) - 1):
-            other = classes[i + 1 :] != classes[i]
-            if key[1] != key[2]:
-                other &= side[i + 1 :] != side[i]
-            at = np.flatnonzero(other) + i + 1
-            at = at[(signature[at] == signature[i]).sum(1) >= least]
-            a.append(np.full(len(at), ids[i]))
-            b.append(ids[at])
-        return pd.DataFrame({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)])})
+_MEMBER = "band long, b int, i long, j long, id long, component long, block long, signature binary"
+
+
+def _candidates(rows: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a block pair, those after it that agree on enough coordinates, are of another class, and share no earlier band."""
+    classes, side, band = rows["component"].to_numpy(), rows["block"].to_numpy(), rows["b"].iloc[0]
+    signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+    across = rows["i"].iloc[0] != rows["j"].iloc[0]
+    for i in range(len(rows) - 1):
+        other = classes[i + 1 :] != classes[i]
+        if across:
+            other &= side[i + 1 :] != side[i]
+        at = np.flatnonzero(other) + i + 1
+        equal = signature[at] == signature[i]
+        at, equal = at[enough := equal.sum(1) >= least], equal[enough]
+        yield i, at[equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band]
+
+
+def _open(least: int):
+    """The members of a block pair that are candidates of any other."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
+        some = np.zeros(len(rows), bool)
+        for i, at in _candidates(rows, least):
+            some[at] = True
+            some[i] |= len(at) > 0
+        return rows.loc[some, _MEMBER.replace(",", "").split()[::2]]
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, signatures: DataFrame | None, similarity: float, least: int) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar enough; written."""
-    if signatures is not None:
-        near = pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
-        near = near.join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
-        pairs = cut(near.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a long, b long"), "near")
-    wanted = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+def _bridges(similarity: float, least: int):
+    """Links of a block pair that join classes: compared exactly, one for two classes that no link before has joined."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
+        sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
+        sizes = np.array([len(e) for e in sets])
+        ends = np.cumsum(sizes)
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        numbered = np.split(number, ends[:-1])
+        marked = np.zeros(number.max(initial=0) + 1, bool)
+        root = {c: c for c in rows["component"]}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        classes, ids, found = rows["component"].tolist(), rows["id"].tolist(), []
+        for i, at in _candidates(rows, least):
+            at = at[np.minimum(sizes[at], sizes[i]) >= similarity * np.maximum(sizes[at], sizes[i])]
+            if len(at):
+                marked[numbered[i]] = True
+                both = np.array([marked[numbered[k]].sum() for k in at])
+                marked[numbered[i]] = False
+                for k in at[both >= similarity * (sizes[at] + sizes[i] - both) - 1e-9].tolist():
+                    x, y = find(classes[i]), find(classes[k])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((ids[i], ids[k]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _elements(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The shingle sets of some ids' texts: id, elements; written."""
+    wanted = cut(ids.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    sets = cut(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets")
+    return cut(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, similarity: float, least: int) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar enough; written."""
+    near = pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
+    near = near.join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
+    pairs = cut(near.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a long, b long"), "near")
+    sets = _elements(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long").distinct(), "similar")
 
@@ -215,7 +265,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     shingles is at least the given one; a class is a connected component and is
     named by its smallest id, the document that stays. Texts that differ in
     white space only are copies of their smallest id, ``copy_of``, which stands
-    for them; ``links`` counts the links found from it to other texts. Null
+    for them; ``links`` counts its links to other texts that were found: to the
+    least of a band, or joining two classes. Null
     counts as empty; texts without a word are like no other but their copies.
     Rows that repeat an id and its text stay or go together; rows without an id
     are in the class of their copies, or in none, and stay then. An empty table
@@ -232,7 +283,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 1 + width * b, width)) for b in range(BANDS)])
-    bands = signatures.select("id", F.explode(keys).alias("band"))
+    bands = signatures.select("id", F.posexplode(keys).alias("b", "band"))
     shared = cut(bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").drop("last"), "shared")
     members = cut(bands.join(shared, "band"), "members")
     pairs = cut(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
@@ -240,17 +291,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     classes = components(links)
 
     # Bands that hold several classes: links between their members, block by block.
-    labelled = cut(members.select("band", "id", "n").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    labelled = cut(members.select("band", "b", "id", "n").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
     open_members = labelled.join(cut(mixed, "mixed"), "band")
     blocks = F.ceil(F.col("n") / BLOCK)
     open_members = open_members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    open_members = open_members.withColumn("meet", F.explode(meets)).select("band", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "id", "component", "block")
-    compared = open_members.join(signatures, "id").groupBy("band", "i", "j").applyInPandas(_across(least), "a long, b long").distinct()
-    compared = cut(compared, "across")
-    if not compared.isEmpty():
-        links = links.unionByName(_verified(compared, rows, None, similarity, least)).distinct()
+    open_members = open_members.withColumn("meet", F.explode(meets)).select("band", "b", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "id", "component", "block")
+    open_members = cut(open_members, "open")
+    place = ["band", "i", "j"]
+    candidates = open_members.join(signatures, "id").groupBy(*place).applyInPandas(_open(least), _MEMBER)
+    candidates = cut(candidates, "candidates")
+    if not candidates.isEmpty():
+        members = candidates.join(_elements(candidates.select("id"), rows), "id")
+        bridges = cut(members.groupBy(*place).applyInPandas(_bridges(similarity, least), "a long, b long").distinct(), "bridges")
+        links = links.unionByName(bridges).distinct()
         classes = components(links)
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     known = cut(classes.join(degree, "id", "full"), "classes").withColumnRenamed("id", "copy_of")
