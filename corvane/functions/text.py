@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What belongs inside brackets: Unicode white space, and word characters.
 WHITE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
@@ -101,12 +102,12 @@ def strip_urls_emails(c: Column | str) -> Column:
     return collapse(F.regexp_replace(c, rf"(^|[^{WORD}])[{WORD}][^{WHITE}]*@[^{WHITE}]*[{WORD}]", "$1 "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(texts: pd.Series) -> pd.Series:
     """Decomposed, non-spacing marks dropped, composed again."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")), na_action="ignore")

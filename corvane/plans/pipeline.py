@@ -195,3 +195,9 @@ def aggregate(spark: SparkSession, report_dir: str, out: str) -> DataFrame:
     summary = reports.run_summary(spark, report_dir)
     reports.write_table(summary, out)
     return summary
+
+
+def saved_gamma(spark: SparkSession, path: str) -> float | None:
+    """The kernel width in a saved model's metadata, if it has one."""
+    value = spark.read.text(f"{path}/meta_model.json", wholetext=True).select(F.get_json_object("value", "$.gamma")).first()[0]
+    return float(value) if value is not None else None

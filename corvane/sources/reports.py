@@ -42,7 +42,7 @@ def counts_of(df: DataFrame, *columns: str) -> dict:
 def scan_json(spark: SparkSession, folder: str, name: str, columns: tuple[str, ...]) -> DataFrame:
     """All files of a name below a folder: (dir, corpus_id, view, family, model_id, and the columns as strings); broken ones are empty."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("wholetext", "true").text(folder)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(folder, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     at = lambda i: F.try_element_at(parts, F.lit(i))
     rows = raw.select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), at(-5).alias("corpus_id"), at(-4).alias("view"), at(-3).alias("family"), at(-2).alias("model_id"), F.from_json("value", schema).alias("j"))
