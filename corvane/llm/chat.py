@@ -27,7 +27,8 @@ START = 3
 #: States after each state: 0 to 2 after a turn of that role, 3 before any.
 NEXT = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
 ENDS = (2, START)
-KEEP, MERGE, RELABEL, INSERT, UNNAMED = 0, 1, 2, 3, 1
+#: A turn relabelled against its name costs more than a merge and an empty turn together.
+KEEP, MERGE, RELABEL, INSERT, UNNAMED = 0, 1, 4, 2, 1
 #: Other names of the roles.
 NAMES = {"human": 1, "prompter": 1, "gpt": 2, "bot": 2, "model": 2, "ai": 2} | {r: i for i, r in enumerate(ROLES)}
 #: Turn numbers in a part of a conversation.
