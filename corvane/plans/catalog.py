@@ -229,7 +229,7 @@ def actor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with repeated ids: those divisible by 4 come again at later positions, with the text of their successor's id."""
+    """Documents and, at later positions, those divisible by 4 once more."""
     docs = documents(spark, sf_dir)
     again = docs.filter(F.col("doc_id") % 4 == 0).withColumn("pos", F.col("pos") + 1_000_000_000)
     return docs.unionByName(again)
