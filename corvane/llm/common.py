@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +74,56 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hold Arrow batches to some bytes where the session has Spark's default; whole texts make 64 MB batches dear."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(most))
+
+
 def digest_long(*columns: Column | str, seed: int = 0) -> Column:
     """A 64-bit hash of columns, equal in every run."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+#: What this worker process holds for tasks to come, by owner: how to let go of it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Begin work for an owner: what other operators keep in this worker is released, and freed memory goes back to the system.
+
+    Worker processes outlive tasks, so that caches serve many of them; without
+    this the caches of every operator that ever ran would add up.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if release is not None:
+        _HELD[owner] = release
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def runs(sizes: list[int], most: int, count: int) -> Iterator[slice]:
+    """Slices of consecutive items whose sizes sum to no more than the most, or of a single item, and of so many at most."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (total + size > most or i - start >= count):
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, narrow
+from .common import BLANKS, bounded_batches, claim, cut, narrow, trim
 
 #: Bytes of text that a trie holds before it flushes (local) or spills (owners).
-LOCAL_BUDGET, OWNER_BUDGET = 32 << 20, 96 << 20
+LOCAL_BUDGET, OWNER_BUDGET = 16 << 20, 64 << 20
 _NODE = 200  # bytes of a node besides its edge, roughly
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -152,6 +152,7 @@ def _partial_batch(trie: RadixTrie) -> pa.RecordBatch:
 
 
 def _local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("exact_dedup")
     trie = RadixTrie()
     for batch in batches:
         for owner, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -161,6 +162,8 @@ def _local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 trie = RadixTrie()
     if trie.terminals:
         yield _partial_batch(trie)
+    del trie
+    trim()
 
 
 def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +172,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for body, owner, n in zip(batch.column("body"), batch.column("owner").to_pylist(), batch.column("n").to_pylist()):
                 yield body.as_py(), owner, n
 
+    claim("exact_dedup")
     out: list[tuple[str, int | None, int]] = []
     for key, owner, n in owners(items(), OWNER_BUDGET):
         if n > 1:
@@ -178,6 +182,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield _owner_batch(out)
+    trim()
 
 
 def _owner_batch(rows: list) -> pa.RecordBatch:
@@ -186,6 +191,7 @@ def _owner_batch(rows: list) -> pa.RecordBatch:
 
 def shared_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts that several rows have: sha256 of the normalised text, owner, n."""
+    bounded_batches(docs.sparkSession)
     rows = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.col("text").cast("binary"))
     partial = rows.mapInArrow(_local, _PARTIAL)
     return partial.repartition("length", "hash").mapInArrow(_settle, _OWNERS)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_long, narrow
+from .common import bounded_batches, claim, digest_long, narrow, runs
 
 ORDER, BITS = 5, 12
 #: Documents a language is fitted on, and those its rejection is calibrated on; expected numbers, as they are chosen by hash.
@@ -31,7 +31,8 @@ MOST_LABELS = 1000
 REJECT_SHARE, REJECT_MARGIN = 0.001, 2.0
 #: Symbols that count towards the score at most.
 EVIDENCE = 200
-TEXTS = 400
+#: Texts, and characters of them, scored at once.
+TEXTS, CHARS = 400, 500_000
 UNKNOWN = "und"
 
 _LETTERS: np.ndarray | None = None
@@ -48,6 +49,11 @@ def _letters() -> np.ndarray:
     return _LETTERS
 
 
+def _forget() -> None:
+    global _LETTERS
+    _LETTERS = None
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code of every symbol with the four before it, and each text's number of symbols; 0 if it has no letter."""
     lowered = [t.lower() for t in texts]
@@ -166,11 +172,10 @@ def fit_kneser_ney(labels: list[str], counted: list[tuple[np.ndarray, np.ndarray
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) to (label, code, n), combined by batch."""
     for batch in batches:
-        frame = batch.to_pandas()
-        for label, texts in frame.groupby("label")["text"]:
-            code, _ = codes(texts.tolist())
-            distinct, n = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(distinct), pa.string()), pa.array(distinct.astype(np.int64)), pa.array(n.astype(np.int64))], names=["label", "code", "n"])
+        for label, own in batch.to_pandas().groupby("label")["text"]:
+            for part in runs(own.str.len().tolist(), CHARS, TEXTS):
+                distinct, n = np.unique(codes(own.iloc[part].tolist())[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(distinct), pa.string()), pa.array(distinct.astype(np.int64)), pa.array(n.astype(np.int64))], names=["label", "code", "n"])
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels:
@@ -179,6 +184,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     Rows without label or text are not learned from. What reaches the driver is
     bounded by those samples.
     """
+    bounded_batches(rows.sparkSession)
     rows = narrow(rows, id=id_col, text=text_col, label=label_col).select("id", F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
     rows = rows.filter("label IS NOT NULL AND text IS NOT NULL")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
@@ -212,8 +218,8 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         place = {c: i for i, c in enumerate(shared.value.labels)}
         for frame in batches:
             frame = frame[frame["label"].isin(place.keys())]
-            for at in range(0, len(frame), TEXTS):
-                some = frame.iloc[at : at + TEXTS]
+            for part in runs(frame["text"].str.len().tolist(), CHARS, TEXTS):
+                some = frame.iloc[part]
                 entropy, n = shared.value.entropies(some["text"].tolist())
                 label = some["label"].map(place).to_numpy()
                 yield pd.DataFrame({"label": label, "entropy": entropy[np.arange(len(some)), label], "n": n})
@@ -230,8 +236,9 @@ def detector(df: DataFrame, models: LanguageModels):
 
     @F.pandas_udf("lang string, score double, entropy double, rejected boolean")
     def detect(texts: pd.Series) -> pd.DataFrame:
+        claim("language_id", _forget)
         texts = texts.fillna("").tolist()
-        parts = [shared.value.predict(texts[at : at + TEXTS]) for at in range(0, len(texts), TEXTS)]
+        parts = [shared.value.predict(texts[part]) for part in runs([len(t) for t in texts], CHARS, TEXTS)]
         return pd.concat(parts, ignore_index=True) if parts else shared.value.predict([])
 
     return detect

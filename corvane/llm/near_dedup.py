@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, narrow
+from .common import BLANKS, bounded_batches, claim, cut, narrow, runs, trim
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,7 +33,8 @@ COORDINATES = BANDS * ROWS
 SLACK = 4.0
 #: Members of a band compared in one group; ids broadcast at most, beyond that the join shuffles.
 BLOCK, BROADCAST_IDS = 512, 500_000
-TEXTS = 400
+#: Texts, and characters of them, signed at once.
+TEXTS, CHARS = 300, 600_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -130,15 +131,17 @@ def dart_signatures(of: np.ndarray, element: np.ndarray, weight: np.ndarray | No
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup", _WORDS.clear)
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            some = batch.slice(at, TEXTS)
-            texts = [t.as_py() or "" for t in some.column(2)]
+        whole = [t.as_py() or "" for t in batch.column(2)]
+        for part in runs([len(t) for t in whole], CHARS, TEXTS):
+            texts, some = whole[part], batch.slice(part.start, part.stop - part.start)
             of, element = shingles(texts)
             signature = dart_signatures(of, element, None, len(texts))
             filled = np.bincount(of, minlength=len(texts)) > 0
             binary = [s.tobytes() if f else None for s, f in zip(signature, filled)]
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(binary, pa.binary())], names=["id", "sha", "signature"])
+    trim()
 
 
 def _agreeing(least: int):
@@ -151,10 +154,11 @@ def _agreeing(least: int):
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup", _WORDS.clear)
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            some = batch.slice(at, TEXTS)
-            texts = [t.as_py() or "" for t in some.column(1)]
+        whole = [t.as_py() or "" for t in batch.column(1)]
+        for part in runs([len(t) for t in whole], CHARS, TEXTS):
+            texts, some = whole[part], batch.slice(part.start, part.stop - part.start)
             of, element = shingles(texts)
             order = np.argsort(of, kind="stable")
             parts = np.split(element[order], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1])
@@ -272,6 +276,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     are in the class of their copies, or in none, and stay then. An empty table
     gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     least = int(np.floor(COORDINATES * similarity - SLACK * np.sqrt(COORDINATES * similarity * (1 - similarity))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.sha2(F.regexp_replace(text, BLANKS, " ").cast("binary"), 256).alias("sha"), text.alias("text"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, new_folder, remove
+from .common import bounded_batches, cut, narrow, new_folder, remove
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of whole records read at once.
@@ -237,6 +237,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     and the others revisit it; rows that repeat that id are responses too, and
     rows without an id revisit. The folder must be shared by all machines.
     """
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = narrow(pages, id=id_col, url=url_col, html=html_col).select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
