@@ -10,9 +10,14 @@ from ..functions.text import lower_collapse, strip, text_hash, text_key, text_of
 RISKY_RATIO, PURITY = 1.25, 0.95
 
 
-def split_counters(df: DataFrame, ident: str = "id", text: str = "text", split: str = "split") -> DataFrame:
+def _hash(text: str, key: str | None) -> Column:
+    """The hash of a text, or the column that has it already."""
+    return F.col(key) if key else text_hash(text)
+
+
+def split_counters(df: DataFrame, ident: str = "id", text: str = "text", split: str = "split", key: str | None = None) -> DataFrame:
     """rows, unique_ids and unique_text_hash of each split."""
-    rows = df.select(split, F.col(ident).cast("string").alias("_i"), text_hash(text).alias("_h"))
+    rows = df.select(split, F.col(ident).cast("string").alias("_i"), _hash(text, key).alias("_h"))
     return rows.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_i").alias("unique_ids"), F.countDistinct("_h").alias("unique_text_hash"))
 
 
@@ -23,13 +28,13 @@ def _shared(df: DataFrame, split: str, value: str) -> DataFrame:
     return a.select(value, "a", F.explode(F.filter("s", lambda x: x > F.col("a"))).alias("b"))
 
 
-def split_overlap(df: DataFrame, ident: str = "id", text: str = "text", split: str = "split", samples: int = 10) -> DataFrame:
+def split_overlap(df: DataFrame, ident: str = "id", text: str = "text", split: str = "split", samples: int = 10, key: str | None = None) -> DataFrame:
     """(a, b, id_overlap, text_hash_overlap, sample_ids) of the pairs of splits that share anything.
 
     The splits of a value are one small set, so a value never meets itself in a
     join.
     """
-    rows = df.select(F.col(split).alias("_s"), F.col(ident).cast("string").alias("_i"), text_hash(text).alias("_h"))
+    rows = df.select(F.col(split).alias("_s"), F.col(ident).cast("string").alias("_i"), _hash(text, key).alias("_h"))
     ids = _shared(rows.select("_s", "_i").distinct(), "_s", "_i")
     by_id = ids.groupBy("a", "b").agg(F.count(F.lit(1)).alias("id_overlap"))
     first = _smallest(ids, samples)
@@ -49,9 +54,9 @@ def _smallest(ids: DataFrame, n: int) -> DataFrame:
     return some.groupBy("a", "b").agg(F.sort_array(F.collect_list("_i")).alias("sample_ids"))
 
 
-def split_alias(df: DataFrame, a: str = "job", b: str = "test", ident: str = "id", text: str = "text", split: str = "split") -> DataFrame:
+def split_alias(df: DataFrame, a: str = "job", b: str = "test", ident: str = "id", text: str = "text", split: str = "split", key: str | None = None) -> DataFrame:
     """One row: whether two splits have the same sets of ids and of texts."""
-    rows = df.filter(F.col(split).isin(a, b)).select(F.col(split).alias("_s"), F.array(F.struct(F.lit("id").alias("k"), F.col(ident).cast("string").alias("v")), F.struct(F.lit("text").alias("k"), text_hash(text).alias("v"))).alias("x"))
+    rows = df.filter(F.col(split).isin(a, b)).select(F.col(split).alias("_s"), F.array(F.struct(F.lit("id").alias("k"), F.col(ident).cast("string").alias("v")), F.struct(F.lit("text").alias("k"), _hash(text, key).alias("v"))).alias("x"))
     sides = rows.select("_s", F.explode("x").alias("x")).groupBy("x.k", "x.v").agg(F.countDistinct("_s").alias("n"))
     return sides.agg(F.coalesce(F.min("n") == 2, F.lit(False)).alias("is_alias"))
 

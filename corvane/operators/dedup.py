@@ -12,14 +12,14 @@ DEDUP_ON = ("none", "id", "text", "id_and_text")
 SPLITS = ("train", "dev", "test")
 
 
-def dedup_keys(on: str, ident: str = "id", text: str = "text") -> list[Column]:
-    own = strip(text_of(F.col(ident).cast("string")))
-    return {"id": [own], "text": [text_hash(text)], "id_and_text": [own, text_hash(text)]}.get(on, [])
+def dedup(df: DataFrame, on: str | None = "none", ident: str = "id", text: str = "text", pos: str = "pos", key: str | None = None) -> DataFrame:
+    """The first row by position of each id, each text, or each pair of both. Unknown modes do nothing.
 
-
-def dedup(df: DataFrame, on: str | None = "none", ident: str = "id", text: str = "text", pos: str = "pos") -> DataFrame:
-    """The first row by position of each id, each text, or each pair of both; texts by the hash of their key. Unknown modes do nothing."""
-    keys = dedup_keys((on or "none").strip().lower(), ident, text)
+    Texts are compared by the hash of their key, which is computed from the
+    text or stands in the key column already.
+    """
+    own, same = strip(text_of(F.col(ident).cast("string"))), F.col(key) if key else text_hash(text)
+    keys = {"id": [own], "text": [same], "id_and_text": [own, same]}.get((on or "none").strip().lower(), [])
     return first_rows(df, keys, pos) if keys else df
 
 
@@ -30,14 +30,15 @@ def split_rank(split: str = "split") -> Column:
     return out.otherwise(len(SPLITS))
 
 
-def leak_marks(df: DataFrame, ident: str = "id", text: str = "text", pos: str = "pos", split: str = "split") -> DataFrame:
+def leak_marks(df: DataFrame, ident: str = "id", text: str = "text", pos: str = "pos", split: str = "split", key: str | None = None) -> DataFrame:
     """Add ``leaked``: the id, or the text of a row that stays, occurs earlier in split and position.
 
+    With a key column of text hashes no text is needed, let alone shuffled.
     Equal to the greedy walk where ids are unique; where an id repeats, its
     first row decides and the text pass sees only rows that passed the first.
     """
     order = F.struct(split_rank(split).alias("s"), F.col(pos).alias("p"))
-    rows = df.withColumn("_order", order).withColumn("_hash", text_hash(text))
+    rows = df.withColumn("_order", order).withColumn("_hash", F.col(key) if key else text_hash(text))
     by_id = rows.groupBy(F.col(ident).alias("_id")).agg(F.min("_order").alias("_first"))
     kept = rows.join(by_id, F.col("_order") == F.col("_first"), "left_semi")
     by_text = kept.groupBy(F.col("_hash").alias("_h")).agg(F.min("_order").alias("_stays"))

@@ -54,11 +54,11 @@ def six(c: str) -> F.Column:
 
 @query(O.PREPARE_VIEW)
 def prepare_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = filters.min_chars(documents(spark, sf_dir), 200).withColumn("tokens", T.token_count("text"))
-    kept = dedup.dedup(docs, "text")
-    # What is split, checked and counted is narrow: hashes instead of texts.
-    keyed = kept.select("id", "doc_id", "pos", "label", "tokens", "text")
-    view = dedup.remove_leaks(splits.three_way(keyed))
+    docs = filters.min_chars(documents(spark, sf_dir), 200)
+    # Only ids, counts and hashes move; texts end in the scan.
+    keyed = docs.select("id", "doc_id", "pos", "label", T.token_count("text").alias("tokens"), T.text_hash("text").alias("text_hash"))
+    kept = dedup.dedup(keyed, "text", key="text_hash")
+    view = dedup.remove_leaks(splits.three_way(kept), key="text_hash")
     return view.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.sum("tokens").alias("tokens"))
 
 
@@ -289,17 +289,17 @@ def three_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.three_way(documents(spark, sf_dir))
+    return splits.three_way(documents(spark, sf_dir).select("pos", "id", "doc_id", "label", T.text_hash("text").alias("text_hash")))
 
 
 @query(O.LEAK_REMOVAL)
 def leak_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.remove_leaks(_split(spark, sf_dir)).select("doc_id", "split")
+    return dedup.remove_leaks(_split(spark, sf_dir), key="text_hash").select("doc_id", "split")
 
 
 @query(O.LEAK_REMOVED_COUNTS)
 def leak_removed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.counts(dedup.leak_marks(_split(spark, sf_dir)).filter("leaked"), "split")
+    return stats.counts(dedup.leak_marks(_split(spark, sf_dir), key="text_hash").filter("leaked"), "split")
 
 
 @query(O.BALANCE_CAP_DOCS)
@@ -436,17 +436,17 @@ def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.SPLIT_AUDIT)
 def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.split_counters(_job(spark, sf_dir))
+    return audit.split_counters(_job(spark, sf_dir), key="text_hash")
 
 
 @query(O.SPLIT_OVERLAP)
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.split_overlap(_job(spark, sf_dir)).withColumn("sample_ids", F.array_join("sample_ids", ","))
+    return audit.split_overlap(_job(spark, sf_dir), key="text_hash").withColumn("sample_ids", F.array_join("sample_ids", ","))
 
 
 @query(O.SPLIT_ALIAS)
 def split_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.split_alias(_job(spark, sf_dir))
+    return audit.split_alias(_job(spark, sf_dir), key="text_hash")
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Profile
-from ..functions.text import normalise, redact_values
+from ..functions.text import normalise, redact_values, text_hash
 from ..operators import balance, dedup, filters, labels, metrics, models, sets, splits
 from ..sources import dims, reports, tei, tsv
 
@@ -84,12 +84,15 @@ def prepare(spark: SparkSession, profile: Profile, out: str, docs: DataFrame | N
     rows, reasons = select(docs, profile)
     rows.write.mode("overwrite").parquet(f"{folder}/selected.parquet")
     rows = filters.require_rows(spark.read.parquet(f"{folder}/selected.parquet"))
-    marked = dedup.leak_marks(split(rows, profile))
+    # Splits, leaks and balance are decided on keys; texts join the result once.
+    keys = rows.select("pos", "id", "label", "tokens", text_hash("text").alias("text_hash"))
+    marked = dedup.leak_marks(split(keys, profile), key="text_hash")
     marked.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/split.parquet")
     marked = spark.read.parquet(f"{folder}/split.parquet")
-    clean = marked.filter("not leaked").drop("leaked")
+    clean = marked.filter("not leaked").drop("leaked", "text_hash")
     train = balance.balance(clean.filter("split = 'train'"), profile.balance_strategy, profile.preset, profile.seed)
-    whole = train.unionByName(clean.filter("split <> 'train'").withColumn("id", F.col("id").cast("string")))
+    chosen_keys = train.unionByName(clean.filter("split <> 'train'").withColumn("id", F.col("id").cast("string"))).select("pos", "id", "split")
+    whole = chosen_keys.join(rows.drop("id"), "pos")
     whole.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/view.parquet")
     whole = spark.read.parquet(f"{folder}/view.parquet")
     count = lambda df, *keys: reports.counts_of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), *keys, "n")
