@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..shipping import ship
+
 #: What belongs inside brackets: Unicode white space, and word characters.
 WHITE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -84,6 +86,8 @@ def _spacy_count(lang: str):
     except ImportError:
         return lambda c: token_count(c, "word_punct")
 
+    ship()
+
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         try:
@@ -123,6 +127,7 @@ def normalise(c: Column | str, mode: str | None = "none") -> Column:
     mode = (mode or "none").strip().lower()
     if mode in {"none", "off", "false", "0"}:
         return c
+    ship()
     c = collapse(nfkc(c))
     if mode in _BASIC:
         return F.lower(c)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, balance, dedup, features, filters, labels, metrics, models, sets, splits, stats
+from ..shipping import ship
 from ..sources import dims, reports, tei
 from . import oracles as O
 
@@ -28,6 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
 _SCHEMA = (
     "xml_id string, n string, terms map<string, array<string>>, class_codes array<struct<scheme: string, value: string>>, "
@@ -114,6 +116,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def extract(rows: DataFrame, declared: str = "") -> DataFrame:
     """The same for rows (pos, frag)."""
+    ship(rows.sparkSession)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
