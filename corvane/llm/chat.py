@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import bounded_batches, cut, narrow
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -214,6 +214,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     any role at a small cost; null texts are empty; rows without conv_id are
     one conversation. An empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(turns.sparkSession)
     rows = narrow(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit((1 << 62))))

@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Runs of ASCII white space, as the contracts spell it.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -62,6 +65,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     executors, and keeps columns prunable and sizes known to the optimizer.
     """
     spark = df.sparkSession
+    ship(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,7 +79,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Hold Arrow batches to some bytes where the session has Spark's default; whole texts make 64 MB batches dear."""
+    """Ready the session for Python steps over whole texts: the package shipped, Arrow batches held to some bytes where it has Spark's default of 64 MB."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).rstrip("b") == str(64 << 20):
         spark.conf.set(key, str(most))

@@ -27,8 +27,8 @@ ORDER, BITS = 5, 12
 FIT_ROWS, CALIBRATION_ROWS = 400, 200
 #: More labels than this are an error: they are columns of the model.
 MOST_LABELS = 1000
-#: Share of calibration texts that the calibrated limit alone would reject, and the margin put on top of it.
-REJECT_SHARE, REJECT_MARGIN = 0.001, 2.0
+#: Share of calibration texts that the calibrated limit alone would reject, the margin put on top of it, and the least limit: texts in two known languages lie below it.
+REJECT_SHARE, REJECT_MARGIN, REJECT_FLOOR = 0.001, 2.0, 16.0
 #: Symbols that count towards the score at most.
 EVIDENCE = 200
 #: Texts, and characters of them, scored at once.
@@ -132,7 +132,7 @@ class LanguageModels:
             if len(own) >= 20:
                 self.mean[i], self.spread[i] = own.mean(), own.std() + 0.01
                 z = self.distance(own, n[label == i], np.full(len(own), i))
-                self.limit[i] = max(8.0, REJECT_MARGIN * np.quantile(z, 1 - REJECT_SHARE))
+                self.limit[i] = max(REJECT_FLOOR, REJECT_MARGIN * np.quantile(z, 1 - REJECT_SHARE))
             else:
                 self.mean[i] = 0.0  # too few texts to tell: nothing is rejected
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, digest_long, narrow
+from .common import bounded_batches, cut, digest_long, narrow
 
 SCALE, CELLS = 256.0, 64
 #: Queries broadcast at once, queries scored at once by a task, candidates scanned at once, exact vectors read at once.
@@ -163,6 +163,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return df.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(whole).filter(F.size("v") > 0)
 
     spark = vectors.sparkSession
+    bounded_batches(spark)
     distinct = valid(vectors).mapInArrow(_distinct(k), "vector binary, ids array<long>").groupBy("vector").agg(F.collect_list("ids").alias("ids"))
     distinct = cut(distinct.select("vector", F.slice(F.array_sort(F.array_distinct(F.flatten("ids"))), 1, k + 1).alias("ids")), "distinct")
     # A row for each dimension that occurs.
