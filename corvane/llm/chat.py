@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, narrow
+from .common import bounded_batches, claim, cut, narrow
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -169,6 +169,7 @@ _OUT = "conv_id long, part long, turns_in long, turns_out long, cost long, merge
 
 
 def _repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("chat")
     out: list[tuple] = []
     for (conv, part), rows in _groups(batches, 2):
         first, last, final = rows[0][2:]

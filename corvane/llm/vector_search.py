@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, digest_long, narrow
+from .common import bounded_batches, claim, cut, digest_long, narrow
 
 SCALE, CELLS = 256.0, 64
 #: Queries broadcast at once, queries scored at once by a task, candidates scanned at once, exact vectors read at once.
@@ -125,6 +125,7 @@ class _Scan:
 
 def _search(shared, grids: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("vector_search")
         scans = {w: _Scan(ids, q, k) for w, (ids, q) in shared.value.items()}
         for batch in batches:
             for at in range(0, batch.num_rows, CANDIDATES):

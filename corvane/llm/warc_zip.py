@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, narrow, new_folder, remove
+from .common import bounded_batches, claim, cut, narrow, new_folder, remove
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of whole records read at once.
@@ -205,6 +205,7 @@ def read_range(path: str, offset: int, length: int) -> Iterator[bytes]:
 
 def _writer(folder: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("warc")
         # A new name for each attempt: only names in the written table count.
         path = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.zip"
 
