@@ -21,6 +21,15 @@ WHITE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 
 
+# Fixed values of the label and text conventions.
+LABEL_PREFIXES = ("crawl_", "asr_party_")
+LABEL_DATE = "_[0-9]{8}_[0-9]{6}$"
+LABEL_SUFFIX = "_full"
+LABEL_ALIAS = ("initiative_communiste", "init_com")
+LABEL_WIDTH = 18
+LINK_RESIDUE = "\t _blank"
+
+
 def text_of(c: Column | str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -51,7 +60,7 @@ def text_hash(c: Column | str) -> Column:
 
 def stats_key(c: Column | str) -> Column:
     """Case and punctuation kept; no-break spaces, a link residue and zero-width spaces cleaned."""
-    cleaned = F.replace(F.replace(F.replace(text_of(c), F.lit(" "), F.lit(" ")), F.lit("\t _blank"), F.lit(" ")), F.lit("​"), F.lit(""))
+    cleaned = F.replace(F.replace(F.replace(text_of(c), F.lit(" "), F.lit(" ")), F.lit(LINK_RESIDUE), F.lit(" ")), F.lit("​"), F.lit(""))
     return F.md5(collapse(cleaned))
 
 
@@ -159,10 +168,10 @@ def redact_values(c: Column | str, *values: Column | str) -> Column:
 def short_label(c: Column | str) -> Column:
     """A label for display: no prefixes, no date suffix, at most 18 characters."""
     c = F.col(c) if isinstance(c, str) else c
-    for gone in ("crawl_", "asr_party_"):
+    for gone in LABEL_PREFIXES:
         c = F.replace(c, F.lit(gone), F.lit(""))
-    c = F.replace(F.regexp_replace(c, "_[0-9]{8}_[0-9]{6}$", ""), F.lit("_full"), F.lit(""))
-    return F.left(F.replace(c, F.lit("initiative_communiste"), F.lit("init_com")), F.lit(18))
+    c = F.replace(F.regexp_replace(c, LABEL_DATE, ""), F.lit(LABEL_SUFFIX), F.lit(""))
+    return F.left(F.replace(c, *[F.lit(x) for x in LABEL_ALIAS]), F.lit(LABEL_WIDTH))
 
 
 def truncate(c: Column | str, most: int) -> Column:
