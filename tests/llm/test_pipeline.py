@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
 from corvane.llm.common import claim, cut, runs
@@ -33,7 +34,7 @@ def test_stages_against_plain_versions(spark):
             words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
             total = sum(words(r.text) for r in docs.collect())
             assert 1.2 * total < sum(words(r.text) for r in rows) <= 1.5 * total
-            assert max(__import__("collections").Counter(r.doc_id for r in rows).values()) <= 2
+            assert max(Counter(r.doc_id for r in rows).values()) <= 2
         else:
             assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
         if name != "packing":
