@@ -96,7 +96,7 @@ def dart_signatures(of: np.ndarray, element: np.ndarray, weight: np.ndarray | No
         mass = np.bincount(of, weight, texts)
         limit = (np.log(k) + 3) / np.maximum(mass, 1e-9)
         signature = np.zeros(texts * k, np.uint32)
-        pending = mass > 0
+        pending, distinct = mass > 0, False
         while pending.any():
             live = pending[of]
             text, seed, low = of[live], element[live], slab[live]
@@ -127,6 +127,18 @@ def dart_signatures(of: np.ndarray, element: np.ndarray, weight: np.ndarray | No
             missed = np.isinf(earliest).reshape(texts, k).any(1) & pending
             pending = missed
             limit[missed] *= 2
+            if weight is None and missed.any() and not distinct:
+                # Few kinds of elements, many times each: from here on once each, or every copy would throw all the darts again.
+                live = missed[of]
+                of, element, slab = of[live], element[live], slab[live]
+                order = np.lexsort((element, of))
+                of, element = of[order], element[order]
+                fresh = np.ones(len(of), bool)
+                fresh[1:] = (of[1:] != of[:-1]) | (element[1:] != element[:-1])
+                of, element, slab = of[fresh], element[fresh], slab[: fresh.sum()]
+                kinds = np.bincount(of, minlength=texts)
+                limit[missed] = np.maximum(limit[missed], (np.log(k) + 3) / kinds[missed])
+                distinct = True
     return signature.reshape(texts, k)
 
 

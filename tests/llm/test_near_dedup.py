@@ -93,3 +93,15 @@ def test_components(spark):
     found = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: find(i) for i in root if find(i) != i}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_shingles_throw_no_more_darts_than_one(monkeypatch):
+    """A text of one line many times has the signature of the line, at the cost of its distinct shingles."""
+    once, often = "one line of a few more words " * 3, "one line of a few more words " * 4000
+    thrown = []
+    real = near_dedup._mix
+    monkeypatch.setattr(near_dedup, "_mix", lambda x: thrown.append(len(x)) or real(x))
+    of, element = shingles([once, often])
+    signature = dart_signatures(of, element, None, 2)
+    assert (signature[0] == signature[1]).all()
+    assert max(thrown) <= len(element) + 10
