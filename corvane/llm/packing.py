@@ -1,11 +1,12 @@
-"""Best-fit packing of documents into fixed-length sequences, by hierarchical residual packing.
-
-Every task tokenizes its documents, cuts those that are longer than a sequence,
-and packs the pieces best-fit in order of decreasing length. Nearly full bins
-are done. The other bins travel up a tree of tasks as items of their own
-length: each node packs those of its children best-fit again, dissolves them
-where their pieces fit into fewer, and the root closes what is left. Pieces carry their bin and their place in it, so no join
-is needed.
+"""Best-fit packing of documents into fixed-length sequences, over the whole table at once.
+
+Every task tokenizes its documents and cuts those that are longer than a
+sequence. Best fit in order of decreasing length sees nothing of a piece but its
+length, so the driver packs the histogram of lengths, which has no more entries
+than a sequence has tokens however many pieces there are: the result is runs,
+each of them saying where the pieces of one length with ranks from one place on
+go. The rank of a piece among all pieces of its length is its rank in its task
+and the number of those in the tasks before.
 """
 
 from __future__ import annotations
@@ -14,22 +15,22 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, narrow, runs, trim
 from .tokens import chunk_tokenizer
 
 CAPACITY, END_ID = 4096, 1
-#: A bin with no more room than this is done. Children of a tree node. Bins that a node passes on at most: the emptiest; the others are done.
-SLACK, FAN, CARRY = 32, 16, 256
-#: Texts tokenized at once, and bytes of them; pieces packed at once by a task.
-TEXTS, BYTES, PIECES = 500, 1_500_000, 200_000
+#: No longer read: every piece takes part in one packing, and nothing is held back or passed on.
+CARRY = None
+#: Texts tokenized at once, and bytes of them.
+TEXTS, BYTES = 500, 1_500_000
 
-_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill int, part int, rising boolean"
+_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,14 +65,52 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
-def rising(fills: np.ndarray, capacity: int) -> np.ndarray:
-    """Which bins go up the tree: those with room, the emptiest CARRY of them."""
-    out = fills < capacity - SLACK
-    if out.sum() > CARRY:
-        emptiest = np.argsort(fills, kind="stable")[:CARRY]
-        out = np.zeros(len(fills), bool)
-        out[emptiest] = True
-    return out
+def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """The same packing from the number of items of each length: runs, sorted, and the number of bins.
+
+    A run (length, rank, bin, each, offset) says that the items of a length from
+    a rank on go into the bins from one on, so many into each, from an offset on.
+    A bin that takes an item is the tightest for the next of that length, if that
+    still fits: bins of equal room are filled one after the other, all alike.
+    """
+    runs: list[tuple[int, int, int, int, int]] = []
+    open_bins: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    rooms = made = 0
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        if room and n:
+            open_bins[room].append((first, n))
+            rooms |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        left, rank = counts[length], 0
+        while left:
+            fitting = rooms >> length
+            if fitting:
+                room = length + (fitting & -fitting).bit_length() - 1
+                first, n = open_bins[room].pop()
+                if not open_bins[room]:
+                    rooms ^= 1 << room
+            else:
+                room, first, n = capacity, made, -(-left // (capacity // length))
+                made += n
+            each = room // length
+            # Bins that take all they can, then one that takes the last items, then bins that take none.
+            for bins, items in ((min(n, left // each), each), (1, left % each)):
+                if bins and items and n and left:
+                    runs.append((length, rank, first, items, capacity - room))
+                    put(room - items * length, first, bins)
+                    first, n, rank, left = first + bins, n - bins, rank + bins * items, left - bins * items
+            put(room, first, n)
+    return np.array(sorted(runs), np.int64).reshape(-1, 5), made
+
+
+def placed(runs: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of items by length and rank."""
+    keys = (runs[:, 0] << 48) + runs[:, 1]
+    _, start, first, each, offset = runs[np.searchsorted(keys, (length << 48) + rank, "right") - 1].T
+    return first + (rank - start) // each, offset + (rank - start) % each * length
 
 
 def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
@@ -82,58 +121,26 @@ def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]
         yield piece, at // 4, len(part) // 4, zlib.crc32(part)
 
 
-def _tokenize_and_pack(path: str, capacity: int):
+def _tokenize(path: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = chunk_tokenizer(path), np.array([END_ID], "<u4").tobytes()
         part = TaskContext.get().partitionId()
-        rows: list[tuple] = []
-        made = 0
-
-        def packed() -> pa.RecordBatch:
-            nonlocal made, rows
-            columns = [np.array(c) for c in zip(*((r[1:]) for r in rows))]
-            bins, offsets, fills = best_fit(columns[2], capacity)
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
-            out += [pa.array((part << 32) + made + bins, pa.int64()), pa.array(offsets, pa.int64()), pa.array(fills[bins], pa.int32()), pa.array(np.full(len(rows), part), pa.int32()), pa.array(rising(fills, capacity)[bins])]
-            made += len(fills)
-            rows = []
-            return pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "part", "rising"])
-
+        seen = [0] * (capacity + 1)
         for batch in batches:
             doc_ids, whole = batch.column(0).to_pylist(), [t.as_py() or b"" for t in batch.column(1)]
             for part_of in runs([len(t) for t in whole], BYTES, TEXTS):
+                rows: list[tuple] = []
                 for doc_id, ids in zip(doc_ids[part_of], tokenizer.ids(whole[part_of])):
-                    rows.extend((doc_id, *p) for p in cut_pieces(ids + end, capacity))
-                if len(rows) >= PIECES:
-                    yield packed()
-        if rows:
-            yield packed()
+                    for piece, start, length, crc in cut_pieces(ids + end, capacity):
+                        rows.append((doc_id, piece, start, length, crc, part, seen[length]))
+                        seen[length] += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
         trim()
 
     return run
 
 
-def _merge(capacity: int):
-    """Packs the bins that reach a node: pieces in, pieces with new bins out.
-
-    Bins are the items. Where that leaves more bins than their pieces would
-    need, the pieces, which are here anyway, are packed one by one instead.
-    """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        items, first, of = np.unique(rows["bin"].to_numpy(), return_index=True, return_inverse=True)
-        bins, offsets, fills = best_fit(rows["fill"].to_numpy()[first].astype(np.int64), capacity)
-        bins, offsets = bins[of], rows["offset"].to_numpy() + offsets[of]
-        if len(fills) > -(-fills.sum() // capacity):
-            apart = best_fit(rows["length"].to_numpy(), capacity)
-            if len(apart[2]) < len(fills):
-                bins, offsets, fills = apart
-        # There are no more bins than items, whose numbers nobody else has.
-        return rows.assign(bin=items[bins], offset=offsets, fill=fills[bins].astype(np.int32), part=np.int32(key[0]), rising=rising(fills, capacity)[bins])
-
-    return run
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -145,13 +152,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     """
     bounded_batches(docs.sparkSession)
     rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    level = cut(rows.mapInArrow(_tokenize_and_pack(tokenizer, capacity), _SCHEMA), "packed")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"]
-    result = level.filter("not rising").select(*columns)
-    while (parts := level.agg(F.max("part")).first()[0]) is not None:
-        grouped = level.filter("rising").withColumn("part", F.expr(f"part div {FAN}")).groupBy("part")
-        level = cut(grouped.applyInPandas(_merge(capacity), _SCHEMA), "merged")
-        if parts < FAN:
-            return result.unionByName(level.select(*columns))
-        result = result.unionByName(level.filter("not rising").select(*columns))
-    return result
+    pieces = cut(rows.mapInArrow(_tokenize(tokenizer, capacity), _SCHEMA), "pieces")
+    counts = cut(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(best_fit_runs(totals, capacity)[0])
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, at = placed(shared.value, batch.column(3).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(at)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    ranked = pieces.join(offsets, ["part", "length"])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")).mapInArrow(place, _PLACED)

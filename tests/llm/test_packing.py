@@ -70,3 +70,28 @@ def test_no_pair_fits(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b " * 1100) for i in range(40)], "doc_id long, text string").repartition(8)
     rows = packing.pack(docs, tokenizer_path()).collect()
     assert len(rows) == 40 and len({r.sequence_id for r in rows}) == 40
+
+
+@given(st.lists(st.integers(1, 50), max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_runs_equal_best_fit(lengths):
+    lengths = np.array(lengths, np.int64)
+    runs, made = packing.best_fit_runs({int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}, 50)
+    rank = np.array([(lengths[:i] == n).sum() for i, n in enumerate(lengths)], np.int64)
+    bins, offsets = packing.placed(runs, lengths, rank)
+    fills = np.bincount(bins, lengths, made).astype(int)
+    assert sorted(fills) == sorted(packing.best_fit(lengths, 50)[2])
+    for b in range(made):
+        at = 0
+        for o, n in sorted((offsets[i], lengths[i]) for i in np.flatnonzero(bins == b)):
+            assert o == at
+            at += n
+
+
+def test_partitions_of_unlike_lengths(spark):
+    """More bins that wait for their other half than one node used to pass on, in partitions of long and of short pieces."""
+    rows = [(i, "a " * (2060 + i % 140)) for i in range(800)] + [(1000 + i, "a " * (1800 + i % 150)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartitionByRange(4, "doc_id")
+    found = packing.pack(docs, tokenizer_path()).collect()
+    lengths = np.array([r.length for r in found], np.int64)
+    assert len(found) == 1600 and len({r.sequence_id for r in found}) == len(packing.best_fit(lengths, 4096)[2]) == 800
