@@ -4,15 +4,17 @@ One model per language, order 5, over letters in lower case with every run of
 other characters as one space. The last five symbols are packed into one
 60-bit code, twelve folded bits each; a model's n-grams and contexts are sorted
 arrays of those codes beside their discounted probabilities and back-off
-weights. A text gets the language of the lowest cross-entropy a symbol, and is
-rejected when that is higher than calibration texts of that language ever come
-near. Models are fitted on a bounded sample; every whole text is scored.
+weights. A text gets the language of the lowest cross-entropy a symbol. It is
+rejected when its passages, each by the language that suits it best, so that
+texts in several known languages pass, lie higher than calibration texts of
+those languages ever come near. Models are fitted on a bounded sample; every whole text is scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,10 @@ ORDER, BITS = 5, 12
 FIT_ROWS, CALIBRATION_ROWS = 400, 200
 #: More labels than this are an error: they are columns of the model.
 MOST_LABELS = 1000
-#: Share of calibration texts that the calibrated limit alone would reject, the margin put on top of it, and the least limit: texts in two known languages lie below it.
-REJECT_SHARE, REJECT_MARGIN, REJECT_FLOOR = 0.001, 2.0, 16.0
+#: Share of calibration texts that the calibrated limit alone would reject, and the margin put on top of it.
+REJECT_SHARE, REJECT_MARGIN = 0.001, 2.0
+#: Symbols of a passage.
+PASSAGE = 40
 #: Symbols that count towards the score at most.
 EVIDENCE = 200
 #: Texts, and characters of them, scored at once.
@@ -97,26 +101,36 @@ class LanguageModels:
             p += _rows(self.grams[n - 1], self.probabilities[n - 1], gram, 0.0)
         return np.log(p)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy a symbol of each text by each language, and the texts' numbers of symbols."""
+    def passages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Summed cross-entropy of each passage by each language, passages' numbers of symbols, their texts, and the texts' numbers of symbols. A text's last passage takes the rest; a text without symbols has an empty one."""
         code, n = codes(texts)
+        parts = np.maximum(n // PASSAGE, 1)
+        of = np.repeat(np.arange(len(texts)), parts)
         if not self.labels or not len(code):
-            return np.zeros((len(texts), len(self.labels))), n
+            return np.zeros((len(of), len(self.labels))), np.zeros(len(of), np.int64), of, n
         which, distinct = pd.factorize(code)
         log_p = self.log_probabilities(np.asarray(distinct, np.uint64))
-        of = np.repeat(np.arange(len(texts)), n)
-        sums = np.stack([np.bincount(of, log_p[which, k], len(texts)) for k in range(len(self.labels))], 1)
-        return -sums / np.maximum(n, 1)[:, None], n
+        text = np.repeat(np.arange(len(texts)), n)
+        place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+        at = (np.cumsum(parts) - parts)[text] + np.minimum(place // PASSAGE, parts[text] - 1)
+        sums = np.stack([np.bincount(at, log_p[which, k], len(of)) for k in range(len(self.labels))], 1)
+        return -sums, np.bincount(at, minlength=len(of)), of, n
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy a symbol of each text by each language, and the texts' numbers of symbols."""
+        sums, _, of, n = self.passages(texts)
+        return _whole(sums, of, n), n
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
-        entropy, n = self.entropies(texts)
+        sums, size, of, n = self.passages(texts)
+        entropy = _whole(sums, of, n)
         known = (n > 0) & (len(self.labels) > 0)
         if not self.labels:
             return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": 0.0, "entropy": 0.0, "rejected": True})
         best = entropy.argmin(1)
         lowest = entropy[np.arange(len(texts)), best]
         score = 1 / np.exp(-(entropy - lowest[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(1)
-        high = self.distance(lowest, n, best) > self.limit[best] if self.limit is not None else np.zeros(len(texts), bool)
+        high = self.passage_distance(sums, size, of, n) > self.limit[best] if self.limit is not None else np.zeros(len(texts), bool)
         names = np.array([*self.labels, UNKNOWN], object)
         return pd.DataFrame({"lang": names[np.where(known, best, -1)], "score": np.where(known, score, 0.0), "entropy": np.where(known, lowest, 0.0), "rejected": ~known | high})
 
@@ -124,6 +138,13 @@ class LanguageModels:
         """Standard deviations above a language's own texts; shorter texts vary more."""
         return (entropy - self.mean[label]) / np.sqrt(self.spread[label] ** 2 + 4.0 / np.maximum(n, 1))
 
+    def passage_distance(self, sums: np.ndarray, size: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same for texts whose passages may differ in language; those of languages that can't tell add nothing."""
+        own = sums.argmin(1)
+        above = np.where(np.isfinite(self.limit[own]), sums[np.arange(len(own)), own] - size * self.mean[own], 0.0)
+        above, spread = (np.bincount(of, x, len(n)) / np.maximum(n, 1) for x in (above, size * self.spread[own]))
+        return above / np.sqrt(spread**2 + 4.0 / np.maximum(n, 1))
+
     def calibrate(self, label: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> None:
         k = len(self.labels)
         self.mean, self.spread, self.limit = np.full(k, np.inf), np.full(k, 1.0), np.full(k, np.inf)
@@ -132,11 +153,18 @@ class LanguageModels:
             if len(own) >= 20:
                 self.mean[i], self.spread[i] = own.mean(), own.std() + 0.01
                 z = self.distance(own, n[label == i], np.full(len(own), i))
-                self.limit[i] = max(REJECT_FLOOR, REJECT_MARGIN * np.quantile(z, 1 - REJECT_SHARE))
+                # Few or uniform texts show less than their tail: it is taken to reach as far as a normal one at least.
+                self.limit[i] = REJECT_MARGIN * max(np.quantile(z, 1 - REJECT_SHARE), NormalDist().inv_cdf(1 - REJECT_SHARE))
             else:
                 self.mean[i] = 0.0  # too few texts to tell: nothing is rejected
 
 
+def _whole(sums: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cross-entropy a symbol of texts from the sums of their passages."""
+    whole = [np.bincount(of, column, len(n)) for column in sums.T]
+    return np.stack(whole, 1) / np.maximum(n, 1)[:, None] if whole else np.zeros((len(n), 0))
+
+
 def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
     if not len(keys):
         return np.full((len(wanted), values.shape[1]), otherwise)
@@ -221,9 +249,13 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             frame = frame[frame["label"].isin(place.keys())]
             for part in runs(frame["text"].str.len().tolist(), CHARS, TEXTS):
                 some = frame.iloc[part]
-                entropy, n = shared.value.entropies(some["text"].tolist())
                 label = some["label"].map(place).to_numpy()
-                yield pd.DataFrame({"label": label, "entropy": entropy[np.arange(len(some)), label], "n": n})
+                # Only the passages in the text's own language: labelled texts hold others too.
+                sums, size, of, n = shared.value.passages(some["text"].tolist())
+                own = sums.argmin(1) == label[of]
+                n = np.bincount(of, size * own, len(n)).astype(np.int64)
+                entropy = np.bincount(of, sums[np.arange(len(of)), label[of]] * own, len(n)) / np.maximum(n, 1)
+                yield pd.DataFrame({"label": label, "entropy": entropy, "n": n})
 
     held = rows.filter((draw >= share(fit_upto)) & (draw < share(upto))).select("label", "text")
     seen = held.mapInPandas(entropies, "label long, entropy double, n long").filter("n > 0").toPandas()

@@ -1,8 +1,10 @@
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from corvane.llm import language_id as L
 from corvane.llm.queries import QUERIES
@@ -103,3 +105,20 @@ def test_gibberish_is_rejected(spark):
     junk = spark.createDataFrame([(10**6, "qxzkvwj pqzxw kkvvqq xzzq wvkq " * 20, None)], "doc_id long, text string, lang string")
     found = {r.doc_id: r.rejected for r in L.identify(docs.unionByName(junk)).collect()}
     assert found[10**6]
+
+
+@pytest.mark.parametrize("out", ["en", "fr"])
+def test_a_language_left_out(spark, out):
+    """Texts of a language that isn't learned are rejected; those in two languages that are, one after the other or by turns, are not."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    known = [[r.text for r in docs if r.lang == c and zlib.crc32(str(r.doc_id).encode()) % 5 == 0][:40] for c in ("de", "en", "es", "fr") if c != out]
+    rows = [(r.doc_id, r.text, None if r.lang == out else r.lang) for r in docs]
+    for i, (a, b) in enumerate((a, b) for k in range(3) for a, b in zip(known[k], known[(k + 1) % 3])):
+        rows.append((10**6 + i, f"{a} {b}", None))
+        turns = zip(*(re.split(r"(?<=[.!?])\s+", t) for t in (a, b)))
+        rows.append((2 * 10**6 + i, " ".join(f"{x} {y}" for x, y in turns), None))
+    rejected = {r.doc_id: r.rejected for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    foreign = [rejected[r.doc_id] for r in docs if r.lang == out]
+    own = [rejected[r.doc_id] for r in docs if r.lang not in (None, out)]
+    mixed = [x for i, x in rejected.items() if i >= 10**6]
+    assert len(mixed) >= 40 and sum(foreign) >= 0.8 * len(foreign) and sum(own) <= 2 and sum(mixed) <= 0.02 * len(mixed)
