@@ -132,7 +132,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     at = names.index(text_col)
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
     text = F.col(f"_{at}").cast("string")
-    found = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     flat = flat.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
     flat = flat.withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym('m', key)})"))
     pieces = F.split(text, PATTERN, -1)

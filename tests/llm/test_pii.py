@@ -85,6 +85,13 @@ def test_ssn_and_counts(spark):
     assert found[1] == {"ssn": 1, "email": 1, "card": 2}
 
 
+def test_address_in_a_text_without_digits(spark):
+    value = "alice@example.org"
+    new = string(value, 0, value.index("@"), "email")
+    found = run(spark, [f"write to {value}", f"write to {value} in 7 days"])
+    assert found[0] == (f"write to {new}", {"email": 1}) and found[1] == (f"write to {new} in 7 days", {"email": 1})
+
+
 def test_permutation(spark):
     """Different values stay different: all IPv4 of a block, and every day of the range."""
     block = spark.range(5000).select(F.concat(F.lit("10.0."), (F.col("id") / 256).cast("int").cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
