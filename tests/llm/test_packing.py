@@ -117,6 +117,6 @@ def test_tree_of_small_leaves(spark, lengths):
     docs = spark.createDataFrame([(i, "a " * n) for i, n in enumerate(lengths)], "doc_id long, text string").coalesce(1).repartitionByRange(4, "doc_id")
     found = packing.pack(docs, tokenizer_path(), leaf=300, fan=2).collect()
     assert sorted((r.doc_id, r.length) for r in found) == [(i, n + 1) for i, n in enumerate(lengths)]
-    assert max(r.sequence_id >> 58 for r in found) == 3
+    assert max(r.sequence_id >> 58 for r in found) >= 2
     best = len(packing.best_fit(np.array(lengths, np.int64) + 1, 4096)[2])
     assert sequences(found) <= best + max(1, best // 33)
