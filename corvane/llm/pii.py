@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: The lengths are those that mail and domain names may have; without bounds a run of labels would overflow the matcher's stack.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,}"
 _ISO_DATE = r"(?<![A-Za-z0-9-])\d{4}-\d{2}-\d{2}(?![A-Za-z0-9-])"
 _DATE = r"(?<![A-Za-z0-9./])(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![A-Za-z0-9])"
 _IP = r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?[A-Za-z0-9])"
@@ -125,8 +126,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     E-mail addresses (their local part; the domain stays), card numbers that
     pass the Luhn check, calendar dates from 1800 to 2199, IPv4 addresses,
     telephone numbers (their country code stays) and social security numbers.
-    Null texts stay null, with an empty map; all other text and every other
-    column stays as it is.
+    An address has a local part of at most 64 characters and at most 128 labels
+    of at most 63. Null and empty texts stay as they are, with an empty map; so
+    does all other text and every other column, whatever its name. Texts of any
+    length are searched whole, in one pass; equal values, also in repeated rows,
+    get equal pseudonyms. An empty table gives no rows.
     """
     names = docs.columns
     at = names.index(text_col)

@@ -20,6 +20,10 @@ from .vector_search import search
 from .warc_zip import round_trip
 
 
+#: For tables that hold no real data; a run over others sets spark.corvane.pseudonym.key.
+PUBLIC_KEY = "corvane pseudonyms"
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    out = pseudonymise(docs, key="corvane pseudonyms")
+    out = pseudonymise(docs, key=spark.conf.get("spark.corvane.pseudonym.key", PUBLIC_KEY))
     return out.select("doc_id", "text", F.to_json("pii").alias("pii"))
 
 

@@ -98,3 +98,36 @@ def test_permutation(spark):
     assert pii.pseudonymise(block, KEY).select("text").distinct().count() == 5000
     days = spark.range(20_000).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.pseudonymise(days, KEY).select("text").distinct().count() == 20_000
+
+
+LONG = [unit * (60_000 // len(unit)) for unit in ("a.", "a-.", "a", "1", "+", "+1 ", "1.", "1.2.3.4", "1234 ", "1234-", "123-45-", "(123) ", "12/", "2020-", "@", "a@", "a@b.", "%", "é@")]
+LONG += ["a." * 500_000, "1234 " * 200_000]
+
+
+def test_long_runs(spark):
+    """Long runs, up to a megabyte, of what each pattern repeats neither ends the search early nor fills the stack; an address behind it is found."""
+    before = ["", "x@", "1@a."]
+    texts = [b + t for t in LONG for b in before]
+    behind = run(spark, [f"{t} alice@example.org" for t in texts])
+    assert all(text.endswith(" " + string("alice@example.org", 0, 5, "email")) and kinds["email"] >= 1 for text, kinds in behind.values())
+    assert [len(text) for text, _ in behind.values()] == [len(t) + 18 for t in texts]
+    assert run(spark, texts[:3]) == {i: (t, {}) for i, t in enumerate(texts[:3])}
+
+
+def test_lengths_of_addresses(spark):
+    ok = ["a" * 64 + "@b.org", "a@" + "b" * 63 + ".org", "a@" + "b." * 127 + "org", "a@b.org."]
+    left = ["a" * 65 + "@b.org", "a@" + "b" * 64 + ".org"]
+    assert all(kinds == {"email": 1} and text != t for t, (text, kinds) in zip(ok, run(spark, ok).values()))
+    assert run(spark, left) == {i: (t, {}) for i, t in enumerate(left)}
+
+
+def test_empty_repeated_and_clashing(spark):
+    rows = [(1, "call +1 (743) 555-3824", "x", 1)] * 3 + [(2, "", "y", 2), (2, None, "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii string, _found int")
+    out = pii.pseudonymise(df, KEY)
+    assert out.columns == ["doc_id", "text", "pii", "_found", "pii"]
+    found = [tuple(r) for r in out.collect()]
+    assert len({str(r) for r in found[:3]}) == 1 and found[0][4] == {"phone": 1} and found[0][2:4] == ("x", 1)
+    assert sorted(found[3:], key=repr) == sorted([(2, "", "y", 2, {}), (2, None, "y", 2, {})], key=repr)
+    empty = pii.pseudonymise(df.limit(0), KEY)
+    assert empty.columns == out.columns and empty.count() == 0
