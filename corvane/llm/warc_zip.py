@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, claim, cut, narrow, new_folder, remove
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Bytes of whole records read at once.
-READ = 4 << 20
+#: Bytes of whole records read at once; archives or ranges of a task, about.
+READ, EACH = 4 << 20, 8
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2020-01-01T00:00:00Z"  # pages carry no date
 _NO_ID = 1 << 64
@@ -286,8 +286,14 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     Ranges, not archives, are what tasks get, so a large archive is read by many.
     """
-    ranges = cut(archives.select("path").repartition("path").mapInArrow(_ranges, "path string, at long, length long"), "ranges")
-    return ranges.repartition("path", "at").mapInArrow(_reader(with_payload), _READ)
+    paths = archives.select("path")
+    ranges = cut(paths.repartition(_tasks(paths), "path").mapInArrow(_ranges, "path string, at long, length long"), "ranges")
+    return ranges.repartition(_tasks(ranges), "path", "at").mapInArrow(_reader(with_payload), _READ)
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Given by number, since rows that stand for megabytes are small themselves and would be merged into one task."""
+    return rows.count() // EACH + EACH
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
