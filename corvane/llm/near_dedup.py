@@ -5,11 +5,13 @@ shingle's region of weight by rank, a Poisson process that is the same for the
 shingle in every text; a dart counts when its weight lies below the shingle's
 and its rank below the text's limit, and the earliest dart of each coordinate
 is kept. A text of n shingles thus costs about n + k log k darts instead of
-n times k hashes. Texts that agree on a band of coordinates are joined with the
-least of them, candidates that agree on enough coordinates are compared
+n times k hashes. Texts that agree on a band of coordinates are joined with one
+of them, the pivot; candidates that agree on enough coordinates are compared
 exactly, and links become classes. Bands that then still hold several classes
-are searched once more, blockwise, for links between members of different
-classes.
+get other pivots, so that large groups of near copies fall together in linear
+time. What is left over is joined completely: texts that agree on enough
+coordinates share one of their rarest ones (the prefix of a set join), so that
+coordinates which many texts have from a common passage join nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_batches, claim, cut, narrow, runs, trim
+from .common import BLANKS, bounded_batches, claim, cut, digest_long, narrow, runs, trim
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -31,8 +33,10 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Standard deviations that a pair's agreement may lie below the similarity's.
 SLACK = 4.0
-#: Members of a band compared in one group; ids broadcast at most, beyond that the join shuffles.
-BLOCK, BROADCAST_IDS = 512, 500_000
+#: Further pivots of bands that hold several classes, before their members are joined completely.
+PIVOTS = 2
+#: Members of a coordinate compared in one group; ids broadcast at most, beyond that the join shuffles.
+BLOCK, BROADCAST_IDS = 512, 200_000
 #: Texts, and characters of them, signed at once.
 TEXTS, CHARS = 300, 600_000
 
@@ -142,18 +146,34 @@ def dart_signatures(of: np.ndarray, element: np.ndarray, weight: np.ndarray | No
     return signature.reshape(texts, k)
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("near_dedup", _WORDS.clear)
-    for batch in batches:
-        whole = [t.as_py() or "" for t in batch.column(2)]
-        for part in runs([len(t) for t in whole], CHARS, TEXTS):
-            texts, some = whole[part], batch.slice(part.start, part.stop - part.start)
-            of, element = shingles(texts)
-            signature = dart_signatures(of, element, None, len(texts))
-            filled = np.bincount(of, minlength=len(texts)) > 0
-            binary = [s.tobytes() if f else None for s, f in zip(signature, filled)]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(binary, pa.binary())], names=["id", "sha", "signature"])
-    trim()
+def _counted(of: np.ndarray, element: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles and how often it has them."""
+    order = np.lexsort((element, of))
+    of, element = of[order], element[order]
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] != of[:-1]) | (element[1:] != element[:-1])
+    first = np.flatnonzero(fresh)
+    return of[first], element[first], np.diff(np.append(first, len(of)))
+
+
+def _sign(weighted: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup", _WORDS.clear)
+        for batch in batches:
+            whole = [t.as_py() or "" for t in batch.column(2)]
+            for part in runs([len(t) for t in whole], CHARS, TEXTS):
+                texts, some = whole[part], batch.slice(part.start, part.stop - part.start)
+                of, element = shingles(texts)
+                filled = np.bincount(of, minlength=len(texts)) > 0
+                weight = None
+                if weighted:
+                    of, element, weight = _counted(of, element)
+                signature = dart_signatures(of, element, None if weight is None else weight.astype(float), len(texts))
+                binary = [s.tobytes() if f else None for s, f in zip(signature, filled)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(binary, pa.binary())], names=["id", "sha", "signature"])
+        trim()
+
+    return run
 
 
 def _agreeing(least: int):
@@ -165,16 +185,25 @@ def _agreeing(least: int):
     return run
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("near_dedup", _WORDS.clear)
-    for batch in batches:
-        whole = [t.as_py() or "" for t in batch.column(1)]
-        for part in runs([len(t) for t in whole], CHARS, TEXTS):
-            texts, some = whole[part], batch.slice(part.start, part.stop - part.start)
-            of, element = shingles(texts)
-            order = np.argsort(of, kind="stable")
-            parts = np.split(element[order], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1])
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([np.unique(p).tobytes() for p in parts], pa.binary())], names=["id", "elements"])
+def _sets(weighted: bool):
+    """Sets of shingles; weighted: a shingle as often as the text has it, each time as another element."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup", _WORDS.clear)
+        for batch in batches:
+            whole = [t.as_py() or "" for t in batch.column(1)]
+            for part in runs([len(t) for t in whole], CHARS, TEXTS):
+                texts, some = whole[part], batch.slice(part.start, part.stop - part.start)
+                of, element, count = _counted(*shingles(texts))
+                if weighted:
+                    time = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    of, element = np.repeat(of, count), np.repeat(element, count)
+                    with np.errstate(over="ignore"):
+                        element = _mix(element + time.astype(np.uint64) * _GOLD)
+                parts = np.split(element, np.cumsum(np.bincount(of, minlength=len(texts)))[:-1])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([np.unique(p).tobytes() for p in parts], pa.binary())], names=["row", "elements"])
+
+    return run
 
 
 def _similar(similarity: float):
@@ -190,13 +219,16 @@ def _similar(similarity: float):
     return run
 
 
-_MEMBER = "band long, b int, i long, j long, id long, component long, block long, signature binary"
+_MEMBER = "token long, c int, i long, j long, row long, component long, block long, coords array<int>, signature binary"
 
 
 def _candidates(rows: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of a block pair, those after it that agree on enough coordinates, are of another class, and share no earlier band."""
-    classes, side, band = rows["component"].to_numpy(), rows["block"].to_numpy(), rows["b"].iloc[0]
+    """For each member of a block pair, those after it that agree on enough coordinates, are of another class, and share no earlier coordinate of both prefixes."""
+    classes, side, c = rows["component"].to_numpy(), rows["block"].to_numpy(), rows["c"].iloc[0]
     signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
+    prefix = np.zeros(signature.shape, bool)
+    for k, coords in enumerate(rows["coords"]):
+        prefix[k, coords] = True
     across = rows["i"].iloc[0] != rows["j"].iloc[0]
     for i in range(len(rows) - 1):
         other = classes[i + 1 :] != classes[i]
@@ -205,14 +237,14 @@ def _candidates(rows: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarra
         at = np.flatnonzero(other) + i + 1
         equal = signature[at] == signature[i]
         at, equal = at[enough := equal.sum(1) >= least], equal[enough]
-        yield i, at[equal.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band]
+        yield i, at[(equal & prefix[at] & prefix[i]).argmax(1) == c]
 
 
 def _open(least: int):
     """The members of a block pair that are candidates of any other."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
+        rows = rows.sort_values("row", ignore_index=True)
         some = np.zeros(len(rows), bool)
         for i, at in _candidates(rows, least):
             some[at] = True
@@ -226,7 +258,7 @@ def _bridges(similarity: float, least: int):
     """Links of a block pair that join classes: compared exactly, one for two classes that no link before has joined."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
+        rows = rows.sort_values("row", ignore_index=True)
         sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
         sizes = np.array([len(e) for e in sets])
         ends = np.cumsum(sizes)
@@ -240,7 +272,7 @@ def _bridges(similarity: float, least: int):
                 root[c] = c = root[root[c]]
             return c
 
-        classes, ids, found = rows["component"].tolist(), rows["id"].tolist(), []
+        classes, nodes, found = rows["component"].tolist(), rows["row"].tolist(), []
         for i, at in _candidates(rows, least):
             at = at[np.minimum(sizes[at], sizes[i]) >= similarity * np.maximum(sizes[at], sizes[i])]
             if len(at):
@@ -251,89 +283,192 @@ def _bridges(similarity: float, least: int):
                     x, y = find(classes[i]), find(classes[k])
                     if x != y:
                         root[max(x, y)] = min(x, y)
-                        found.append((ids[i], ids[k]))
+                        found.append((nodes[i], nodes[k]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _elements(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The shingle sets of some ids' texts: id, elements; written."""
-    wanted = cut(ids.distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    return cut(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "sets")
+class _Texts:
+    """The texts of some rows, found by id; where ids repeat, by id and content."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, weighted: bool) -> None:
+        self.rows, self.nodes, self.weighted = rows, nodes, weighted
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """The shingle sets of rows: row, elements; written."""
+        wanted = cut(self.nodes.join(wanted.distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), F.col("sha").alias("_sha")), "wanted")
+        n = wanted.count()
+        # No key of the join, so that only texts whose ids are wanted are hashed.
+        same = F.coalesce(text_key(F.col("text")) == F.col("_sha"), F.lit(False))
+        texts = self.rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("id").eqNullSafe(F.col("_id")) & same)
+        sets = cut(texts.select("row", "text").mapInArrow(_sets(self.weighted), "row long, elements binary"), "sets")
+        return sets if sets.count() == n else cut(sets.dropDuplicates(["row"]), "sets")  # rows that repeat an id and its text
 
-def _verified(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, similarity: float, least: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, texts: _Texts, signatures: DataFrame, similarity: float, least: int) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets are similar enough; written."""
-    near = pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("x")), "a")
-    near = near.join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("y")), "b")
+    near = pairs.join(signatures.select(F.col("row").alias("a"), F.col("signature").alias("x")), "a")
+    near = near.join(signatures.select(F.col("row").alias("b"), F.col("signature").alias("y")), "b")
     pairs = cut(near.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a long, b long"), "near")
-    sets = _elements(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    sets = texts.sets(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))))
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("elements").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long").distinct(), "similar")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, kept, copy_of, links.
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (row, component) after further links: these join the classes of their ends."""
+    of = lambda end: F.coalesce(F.col(f"component_{end}"), F.col(end)).alias(end)
+    for end in ("a", "b"):
+        links = links.join(classes.select(F.col("row").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
+    joined = components(links.select(of("a"), of("b")))
+    moved = classes.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    return cut(moved.select("row", F.coalesce("to", "component").alias("component")).unionByName(joined.select(F.col("id").alias("row"), "component")), "classes")
 
-    Two texts are linked when the Jaccard similarity of their sets of five-word
-    shingles is at least the given one; a class is a connected component and is
-    named by its smallest id, the document that stays. Texts that differ in
-    white space only are copies of their smallest id, ``copy_of``, which stands
-    for them; ``links`` counts its links to other texts that were found: to the
-    least of a band, or joining two classes. Null
-    counts as empty; texts without a word are like no other but their copies.
-    Rows that repeat an id and its text stay or go together; rows without an id
-    are in the class of their copies, or in none, and stay then. An empty table
-    gives no rows; other columns are ignored.
-    """
+
+def _labelled(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return members.join(classes, "row", "left").withColumn("component", F.coalesce("component", "row"))
+
+
+def _prefixes(nodes: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
+    """Of each node the coordinates among whose rarest one any two nodes that agree on enough coordinates meet: row, component, prefix."""
+    token = "posexplode(transform(sequence(0, {}), c -> xxhash64(c, substring(signature, 1 + 4 * c, 4)))) AS (c, token)".format(COORDINATES - 1)
+    tokens = cut(nodes.join(signatures, "row").selectExpr("row", "component", token), "tokens")
+    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), (F.min("component") < F.max("component")).alias("several")).filter("n > 1")
+    shared = tokens.join(known, "token").groupBy("row", "component").agg(F.sort_array(F.collect_list(F.struct("n", "token", "c", "several"))).alias("shared"))
+    # Coordinates that no other node shares come first.
+    return cut(shared.selectExpr("row", "component", f"slice(shared, 1, greatest(0, size(shared) - {least} + 1)) AS prefix").filter("size(prefix) > 0"), "prefixes")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Members (token, c, row, component) of several classes dealt into pairs of blocks: the largest class of a token meets all others, but not itself."""
+    per_class = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = per_class.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    main = cut(main.selectExpr("token", "main.component AS main", f"CAST(ceil((n - main.n) / {BLOCK}) AS BIGINT) AS others", f"CAST(ceil(main.n / {BLOCK}) AS BIGINT) AS mains"), "mixed")
+    rows = members.join(main, "token").withColumn("h", digest_long("row", seed=31))
+    rows = rows.withColumn("block", F.expr("if(component = main, others + pmod(h, mains), pmod(h, others))"))
+    rows = rows.withColumn("k", F.expr("explode(sequence(0L, if(component = main, others, others + mains) - 1))"))
+    return rows.selectExpr("token", "c", "least(block, k) AS i", "greatest(block, k) AS j", "row", "component", "block")
+
+
+def _dealt(rows: DataFrame, written: DataFrame, place: list[str]) -> DataFrame:
+    """Partitions by the number of rows, which a written table knows: their comparisons cost far more than their bytes tell."""
+    return rows.repartition(written.count() // BLOCK + 8, *place)
+
+
+def _joined(nodes: DataFrame, texts: _Texts, signatures: DataFrame, similarity: float, least: int) -> DataFrame:
+    """Links (a, b) between nodes (row, component) that join their classes; written."""
+    prefixes = _prefixes(nodes, signatures, least)
+    members = prefixes.selectExpr("row", "component", "explode(prefix) AS t").filter("t.several").selectExpr("t.token AS token", "t.c AS c", "row", "component")
+    place = ["token", "i", "j"]
+    blocks = cut(_block_pairs(cut(members, "prefixed")), "blocks")
+    about = prefixes.selectExpr("row", "transform(prefix, t -> t.c) AS coords").join(signatures, "row")
+    candidates = _dealt(blocks.join(about, "row"), blocks, place).groupBy(*place).applyInPandas(_open(least), _MEMBER)
+    candidates = cut(candidates, "candidates")
+    members = candidates.join(texts.sets(candidates.select("row")), "row")
+    found = _dealt(members, candidates, place).groupBy(*place).applyInPandas(_bridges(similarity, least), "a long, b long")
+    return cut(found.distinct(), "bridges")
+
+
+def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str, weighted: bool) -> DataFrame:
+    """One row per document: id, sha of its text, copy_of, class_id, class_sha, links."""
     bounded_batches(docs.sparkSession)
     least = int(np.floor(COORDINATES * similarity - SLACK * np.sqrt(COORDINATES * similarity * (1 - similarity))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.sha2(F.regexp_replace(text, BLANKS, " ").cast("binary"), 256).alias("sha"), text.alias("text"))
-    signed = cut(rows.mapInArrow(_sign, "id long, sha string, signature binary"), "signed")
-    first = cut(signed.groupBy("sha").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
-    rest = signed.select("id", "sha").join(first, "sha").filter("id <> copy_of").select("id").distinct()
-    signatures = signed.filter("id IS NOT NULL AND signature IS NOT NULL").select("id", "signature").join(rest, "id", "left_anti")
-    signatures = cut(signatures, "signatures")
+    rows = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), text_key(text).alias("sha"), text.alias("text"))
+    # Rows are told apart by their number in the written table: ids may repeat or be null.
+    signed = cut(rows.mapInArrow(_sign(weighted), "id long, sha string, signature binary").withColumn("row", F.monotonically_increasing_id()), "signed")
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    first = signed.groupBy("sha").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = cut(first.selectExpr("sha", "first.row AS first", "first.id AS copy_of"), "copied")
+    rest = signed.select("row", "sha").join(first, "sha").filter("row <> first").select("row")
+    signatures = cut(signed.filter("signature IS NOT NULL").join(rest, "row", "left_anti"), "signatures")
+    nodes = signatures.select("row", "id", "sha")
+    signatures = signatures.select("row", "signature")
+    texts = _Texts(rows.select("id", "text"), nodes, weighted)
 
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 1 + width * b, width)) for b in range(BANDS)])
-    bands = signatures.select("id", F.posexplode(keys).alias("b", "band"))
-    shared = cut(bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").drop("last"), "shared")
+    bands = signatures.select("row", F.explode(keys).alias("band"))
+    shared = cut(bands.groupBy("band").agg(F.min("row").alias("pivot"), F.max("row").alias("last")).filter("pivot < last").drop("last"), "shared")
     members = cut(bands.join(shared, "band"), "members")
-    pairs = cut(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, rows, signatures, similarity, least)
-    classes = components(links)
-
-    # Bands that hold several classes: links between their members, block by block.
-    labelled = cut(members.select("band", "b", "id", "n").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    pairs = cut(members.filter("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, texts, signatures, similarity, least)
+    classes = cut(components(links).withColumnRenamed("id", "row"), "classes")
+    members = members.select("band", "row")
+    for turn in range(PIVOTS):
+        labelled = cut(_labelled(members, classes), "labelled")
+        pivot = F.min_by(F.struct("row", "component"), digest_long("row", seed=41 + turn)).alias("pivot")
+        mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), pivot).filter("x < y").select("band", "pivot")
+        members = cut(labelled.join(mixed, "band"), "members")
+        pairs = members.filter("component <> pivot.component").select(F.least("row", "pivot.row").alias("a"), F.greatest("row", "pivot.row").alias("b")).distinct()
+        members, pairs = members.select("band", "row"), cut(pairs, "pairs")
+        if pairs.isEmpty():
+            break  # no band holds several classes
+        found = _verified(pairs, texts, signatures, similarity, least)
+        if not found.isEmpty():
+            links, classes = links.unionByName(found), _merged(classes, found)
+
+    labelled = cut(_labelled(members, classes), "labelled")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    open_members = labelled.join(cut(mixed, "mixed"), "band")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    open_members = open_members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    open_members = open_members.withColumn("meet", F.explode(meets)).select("band", "b", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "id", "component", "block")
-    open_members = cut(open_members, "open")
-    place = ["band", "i", "j"]
-    candidates = open_members.join(signatures, "id").groupBy(*place).applyInPandas(_open(least), _MEMBER)
-    candidates = cut(candidates, "candidates")
-    if not candidates.isEmpty():
-        members = candidates.join(_elements(candidates.select("id"), rows), "id")
-        bridges = cut(members.groupBy(*place).applyInPandas(_bridges(similarity, least), "a long, b long").distinct(), "bridges")
-        links = links.unionByName(bridges).distinct()
-        classes = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    known = cut(classes.join(degree, "id", "full"), "classes").withColumnRenamed("id", "copy_of")
-    out = signed.select("id", "sha").join(first.drop("n"), "sha", "left").withColumn("copy_of", F.coalesce("copy_of", "id"))
-    out = out.join(known, "copy_of", "left").withColumn("class_id", F.coalesce("component", "copy_of"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "copy_of", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-
-
-def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their class, with all their columns."""
+    unsettled = cut(labelled.join(mixed, "band", "left_semi").select("row", "component").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        found = _joined(unsettled, texts, signatures, similarity, least)
+        links, classes = links.unionByName(found), _merged(classes, found)
+
+    degree = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
+    linked = cut(degree.join(classes, "row", "left").withColumn("component", F.coalesce("component", "row")).join(nodes, "row"), "linked")
+    name = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("sha").alias("sha"))).alias("name")
+    names = linked.groupBy("component").agg(name).selectExpr("component", "name.id AS class_id", "name.sha AS class_sha")
+    known = cut(linked.select("row", "component", "links").join(names, "component").select(F.col("row").alias("first"), "links", "class_id", "class_sha"), "known")
+    out = signed.select("row", "id", "sha").join(first, "sha", "left").withColumn("copy_of", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("copy_of")))
+    out = out.withColumn("first", F.coalesce("first", "row")).join(known, "first", "left")
+    alone = F.col("class_sha").isNull()
+    return out.select(
+        "id", "sha", "copy_of", F.when(alone, F.col("copy_of")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_sha", "sha").alias("class_sha"), F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+    )
+
+
+def text_key(text: Column) -> Column:
+    """A hash of a text, equal for texts that differ in white space only."""
+    return F.sha2(F.regexp_replace(text, BLANKS, " ").cast("binary"), 256)
+
+
+_KEPT = "id <=> class_id AND sha = class_sha"
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id, kept, copy_of, links.
+
+    Two texts are linked when the Jaccard similarity of their sets of five-word
+    shingles is at least the given one (weighted: of the shingles with their
+    numbers, least over greatest); a class is a connected component and is
+    named by its smallest id, null last, ties by content; the document with
+    that id and text stays. Texts that differ in white space only are copies of
+    their smallest id, ``copy_of``, which stands for them; ``links`` counts its
+    links to other texts that were found: to the pivots of its bands, or
+    joining two classes. Null counts as empty; texts without a word are like no
+    other but their copies. Rows that repeat an id are texts of their own, and
+    those that repeat an id and its text stay or go together; of a class
+    without any id, the text with the least hash stays. An empty table gives no
+    rows; other columns are ignored.
+    """
+    found = _classes(docs, similarity, id_col, text_col, weighted)
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.expr(_KEPT).alias("kept"), "copy_of", "links")
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
+    """The documents that stay in their class, with all their columns.
+
+    Rows that repeat an id are told apart by their texts; those that repeat
+    both stay or go together. Nulls, empty texts and empty tables are as in
+    near_classes, and other columns may have any name.
+    """
     names = docs.columns
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    gone = cut(near_classes(docs, similarity, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return flat.join(gone, F.col(f"_{names.index(id_col)}").cast("long").eqNullSafe(F.col("_gone")), "left_anti").toDF(*names)
+    gone = cut(_classes(docs, similarity, id_col, text_col, weighted).filter(f"NOT ({_KEPT})").select(F.col("id").alias("_gone"), F.col("sha").alias("_sha")).distinct(), "gone")
+    here, text = F.col(f"_{names.index(id_col)}").cast("long"), F.coalesce(F.col(f"_{names.index(text_col)}").cast("string"), F.lit(""))
+    # As in _Texts: the content is no key of the join.
+    same = here.eqNullSafe(F.col("_gone")) & F.coalesce(text_key(text) == F.col("_sha"), F.lit(False))
+    return flat.join(gone, same, "left_anti").toDF(*names)
