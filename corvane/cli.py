@@ -40,17 +40,19 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("audit-tei")
     p.add_argument("path")
     p.add_argument("--issues")
+    p.add_argument("--out-json")
     p.add_argument("--fail-on-critical", action="store_true")
     p = sub.add_parser("audit-splits")
     p.add_argument("folder")
     p = sub.add_parser("stats")
     p.add_argument("tsv", nargs="+")
+    p.add_argument("--out-prefix")
     return top
 
 
 def audit_corpus(spark: SparkSession, path: str, issues: str | None = None) -> tuple[dict, list[str]]:
-    """The summary of a corpus and what is critical about it."""
-    docs = tei.audited(tei.scan(spark, path).filter("not broken")).persist()
+    """The summary of a corpus and what is critical about it; only elements in the TEI namespace count."""
+    docs = tei.audited(tei.scan(spark, path).filter("not broken AND in_namespace")).persist()
     counters, purity = audit.corpus_counters(docs), audit.domain_purity(docs)
     summary = counters.first().asDict() | {"domain_label_purity": purity.first().asDict()}
     for name, column in (("top_domains", "domains"), ("top_crawls", "crawls"), ("top_modalities", "modalities")):
@@ -72,9 +74,15 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "audit-tei":
         summary, critical = audit_corpus(spark, args.path, args.issues)
         print(json.dumps(summary | {"critical": critical}, ensure_ascii=False, indent=2))
+        if args.out_json:
+            reports.write_json(spark, args.out_json, summary | {"critical": critical})
         return 2 if critical and args.fail_on_critical else 0
     if args.command == "audit-splits":
-        rows = tsv.read_audited(spark, {s: f"{args.folder}/{s}.tsv" for s in ("train", "dev", "test", "job")})
+        try:
+            rows = tsv.read_audited(spark, {s: f"{args.folder}/{s}.tsv" for s in ("train", "dev", "test", "job")})
+        except FileNotFoundError as e:
+            print(f"no split to audit: {e}", file=sys.stderr)
+            return 2
         found = {"splits": [r.asDict() for r in audit.split_counters(rows).collect()], "pairs": [r.asDict() for r in audit.split_overlap(rows).collect()], "job_is_test": audit.split_alias(rows).first()[0]}
         print(json.dumps(found, ensure_ascii=False, indent=2))
         return 0
@@ -84,8 +92,14 @@ def main(argv: list[str] | None = None) -> int:
             part = tsv.read_positional(spark, path)
             rows = part if rows is None else rows.unionByName(part)
         rows = rows.withColumn("pos", F.monotonically_increasing_id()).persist()
-        found = {"docs": rows.count(), "labels": [r.asDict() for r in stats.label_distribution(rows).collect()], "length_tokens": [r.asDict() for r in stats.length_percentiles(rows).collect()], "duplicates": [r.asDict() for r in stats.duplicates_per_label(rows).collect()]}
+        labels = stats.label_distribution(rows).select("label", F.col("n").alias("count"))
+        again = reports.counts_of(stats.duplicates_per_label(rows), "label", "duplicates")
+        lengths = {r["label"]: {"n": r["n"], "median": r["median"], "p90": r["p90"]} for r in stats.length_percentiles(rows).collect()}
+        found = {"docs": rows.count(), "labels": labels.count(), "dups_total": sum(again.values()), "dups_per_label": again, "length_tokens": lengths}
         print(json.dumps(found, ensure_ascii=False, indent=2))
+        if args.out_prefix:
+            reports.write_table(labels, f"{args.out_prefix}.label_dist.csv", ",")
+            reports.write_json(spark, f"{args.out_prefix}.stats.json", found)
         return 0
     profile = config.load(args.configs, args.profile, args.override, args.legacy)
     if args.verbose:
@@ -102,7 +116,7 @@ def main(argv: list[str] | None = None) -> int:
             for family, model_id in pipeline.chosen(profile, args.only_family):
                 if family != "check":
                     path = f"{args.models}/{profile.dataset_id}/{profile.view}/{family}/{model_id}"
-                    fitted[model_id] = models.load(path, models.settings_of(model_id, profile.models, family), pipeline.saved_gamma(spark, path))
+                    fitted[model_id] = pipeline.saved_model(spark, path, models.settings_of(model_id, profile.models, family))
         pipeline.evaluate(spark, profile, args.data, fitted, args.reports, args.only_family)
     return 0
 

@@ -112,7 +112,8 @@ def strip_urls_emails(c: Column | str) -> Column:
     """Web addresses and e-mail-like tokens as spaces, white space collapsed."""
     c = F.regexp_replace(text_of(c), rf"https?://[^{WHITE}]+", " ")
     c = F.regexp_replace(c, rf"www\.[^{WHITE}]+", " ")
-    return collapse(F.regexp_replace(c, rf"(^|[^{WORD}])[{WORD}][^{WHITE}]*@[^{WHITE}]*[{WORD}]", "$1 "))
+    # Once for each run between white space: from its first word character to its last, if there is an @ between.
+    return collapse(F.regexp_replace(c, rf"(?<![^{WHITE}])([^{WORD}{WHITE}]*+)[{WORD}][^{WHITE}@]*+@[^{WHITE}]*[{WORD}]", "$1 "))
 
 
 @F.pandas_udf(StringType())

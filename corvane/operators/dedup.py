@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, strip, text_hash, text_of
+from ..shared import checkpointed
 from .ranks import first_rows, hash_ranks
 
 DEDUP_ON = ("none", "id", "text", "id_and_text")
@@ -34,18 +37,41 @@ def leak_marks(df: DataFrame, ident: str = "id", text: str = "text", pos: str =
     """Add ``leaked``: the id, or the text of a row that stays, occurs earlier in split and position.
 
     With a key column of text hashes no text is needed, let alone shuffled.
-    Equal to the greedy walk where ids are unique; where an id repeats, its
-    first row decides and the text pass sees only rows that passed the first.
+    This is the greedy walk: null and blank ids are never equal, and a row
+    that leaks by its text leaves its id to later ones. Where ids are unique,
+    the first row of each text stays and one pass will do; where they repeat,
+    rows that are first in both stay, what shares an id or a text with them
+    leaks, and the walk goes on with the rest, in as many rounds as the longest
+    chain of rows that decide each other. Positions must be unique in a split.
     """
     order = F.struct(split_rank(split).alias("s"), F.col(pos).alias("p"))
+    own = strip(text_of(F.col(ident).cast("string")))
     rows = df.withColumn("_order", order).withColumn("_hash", F.col(key) if key else text_hash(text))
-    by_id = rows.groupBy(F.col(ident).alias("_id")).agg(F.min("_order").alias("_first"))
-    kept = rows.join(by_id, F.col("_order") == F.col("_first"), "left_semi")
-    by_text = kept.groupBy(F.col("_hash").alias("_h")).agg(F.min("_order").alias("_stays"))
-    marked = rows.join(by_text.select("_stays"), F.col("_order") == F.col("_stays"), "left")
+    walk = rows.select("_order", F.when(own != "", own).alias("_id"), "_hash")
+    if walk.filter("_id IS NOT NULL").groupBy("_id").count().filter("count > 1").isEmpty():
+        stays = walk.groupBy("_hash").agg(F.min("_order").alias("_stays")).select("_stays")
+    else:
+        stays = _walked(walk)
+    marked = rows.join(stays, F.col("_order") == F.col("_stays"), "left")
     return marked.withColumn("leaked", F.col("_stays").isNull()).drop("_order", "_hash", "_stays")
 
 
+def _walked(rows: DataFrame) -> DataFrame:
+    """The rows (_order, _id, _hash) that a walk in order keeps, as _stays."""
+    left, kept = checkpointed(rows), []
+    while not left.isEmpty():
+        by_id = left.filter("_id IS NOT NULL").groupBy(F.col("_id").alias("_i")).agg(F.min("_order").alias("_first_id"))
+        by_text = left.groupBy(F.col("_hash").alias("_h")).agg(F.min("_order").alias("_first_text"))
+        placed = left.join(by_text, F.col("_hash") == F.col("_h")).join(by_id, F.col("_id") == F.col("_i"), "left")
+        placed = placed.withColumn("_stays", (F.col("_order") == F.col("_first_text")) & F.coalesce(F.col("_order") == F.col("_first_id"), F.lit(True)))
+        placed = checkpointed(placed.select("_order", "_id", "_hash", "_stays"))
+        first = placed.filter("_stays")
+        kept.append(first.select(F.col("_order").alias("_stays")))
+        rest = placed.filter("NOT _stays").drop("_stays").join(first.select("_hash"), "_hash", "left_anti")
+        left = checkpointed(rest.join(first.filter("_id IS NOT NULL").select("_id"), "_id", "left_anti").select("_order", "_id", "_hash"))
+    return reduce(DataFrame.unionByName, kept) if kept else rows.select(F.col("_order").alias("_stays"))
+
+
 def remove_leaks(df: DataFrame, **columns: str) -> DataFrame:
     return leak_marks(df, **columns).filter("not leaked").drop("leaked")
 

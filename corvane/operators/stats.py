@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import stats_key, token_count
 
 
+#: Ranks that the approximate percentiles tell apart.
+ACCURACY = 10_000
+
+
 def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
@@ -46,10 +50,36 @@ def length_histogram(df: DataFrame, group: str = "corpus_id", text: str = "text"
 
 
 def robust_limits(df: DataFrame, *columns: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """A row (column, low, high) of percentiles for each column."""
-    one = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in columns])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """A row (column, low, high) of percentiles for each column, linearly interpolated; null without values.
+
+    Exact at any size: approximate percentiles on either side bracket each
+    wanted place, values below the bracket are only counted, and only those
+    inside, about 6 in 10,000 of all, are sorted.
+    """
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*").filter("v IS NOT NULL")
+    counted = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares, asked = {"low": low, "high": high}, []
+    brackets = []
+    for c, n in counted.items():
+        around = [min(1.0, max(0.0, p + side * (2 / ACCURACY + 2 / n))) for p in shares.values() for side in (-1, 1)]
+        brackets.append(F.percentile_approx(F.col(c).cast("double"), around, ACCURACY).alias(c))
+    found = df.agg(*brackets).first() if brackets else {}
+    for c, n in counted.items():
+        for i, (name, p) in enumerate(shares.items()):
+            asked.append((c, name, p * (n - 1), found[c][2 * i], found[c][2 * i + 1]))
+    targets = df.sparkSession.createDataFrame(asked, "column string, name string, at double, first double, last double")
+    near = values.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(targets), "column").filter("v <= last")  # two targets a column
+    below = near.filter("v < first").groupBy("column", "name").agg(F.sum("n").alias("below"))
+    inside = near.filter("v >= first").join(below, ["column", "name"], "left")
+    upto = F.sum("n").over(Window.partitionBy("column", "name").orderBy("v"))
+    inside = inside.withColumn("upto", upto + F.coalesce("below", F.lit(0)))
+    place = lambda whole: F.min(F.when(F.col("upto") > whole("at"), F.col("v")))
+    ends = inside.groupBy("column", "name", "at").agg(place(F.floor).alias("a"), place(F.ceil).alias("b"))
+    value = (F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b")
+    ends = ends.withColumn("value", F.when(F.floor("at") == F.ceil("at"), F.col("a")).otherwise(value))
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(ends.groupBy("column").agg(pick("low"), pick("high")), "column", "left")
 
 
 def most_common(df: DataFrame, key: str, k: int = 10) -> DataFrame:

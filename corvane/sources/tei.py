@@ -19,29 +19,40 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
+NAMESPACE = "http://www.tei-c.org/ns/1.0"
 _SCHEMA = (
     "xml_id string, n string, terms map<string, array<string>>, class_codes array<struct<scheme: string, value: string>>, "
-    "text string, text_no_segments string, text_all string, text_all_no_segments string, has_text boolean, has_segments boolean, broken boolean"
+    "text string, text_no_segments string, text_all string, text_all_no_segments string, has_text boolean, has_segments boolean, broken boolean, in_namespace boolean"
 )
 
 
+#: A TEI element's beginning, with its prefix, in text without the tag's end.
+_ELEMENT = r"<((?:[\w.-]+:)?)TEI(?=[\s>/]|$)"
+
+
 def _head(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Prefix of the TEI elements and the root's namespace declarations, from the beginning of the first file."""
-    rows = spark.read.option("lineSep", ">").text(path).limit(200).collect()
-    head = ">".join(r[0] for r in rows)
-    found = re.search(r"<(?:([\w.-]+):)?TEI[\s>/]", head + ">")
-    prefix = f"{found[1]}:" if found and found[1] else ""
+    """Prefix of the first TEI element, however far from the beginning, and the root's namespace declarations."""
+    tags = spark.read.option("lineSep", ">").text(path)
+    first = tags.filter(F.col("value").rlike(_ELEMENT)).select(F.regexp_extract("value", _ELEMENT, 1)).first()
+    prefix = first[0] if first else ""
+    head = ">".join(r[0] for r in tags.limit(200).collect())
     root = re.search(r"<(?:[\w.-]+:)?teiCorpus\b([^>]*)", head)
     return prefix, " ".join(re.findall(r"xmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')", root[1] if root else ""))
 
 
 def fragments(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Rows (pos, frag), one for each TEI element in file order, and the root's declarations."""
+    """Rows (pos, idx, frag), one for each TEI element in file order, and the root's declarations.
+
+    idx numbers all elements without gaps, those that can't be parsed as well.
+    A file whose elements have another prefix than the first one is an error.
+    """
     prefix, declared = _head(spark, path)
     raw = spark.read.option("lineSep", f"</{prefix}TEI>").text(path)
     start = F.regexp_instr("value", F.lit(f"<{prefix}TEI[\\s>]"))
-    rows = raw.filter(start > 0).select(F.concat(F.expr(f"substring(value, regexp_instr(value, '<{prefix}TEI[\\\\s>]'))"), F.lit(f"</{prefix}TEI>")).alias("frag"))
-    return rows.select(F.monotonically_increasing_id().alias("pos"), "frag"), declared
+    whole = F.concat(F.expr(f"substring(value, regexp_instr(value, '<{prefix}TEI[\\\\s>]'))"), F.lit(f"</{prefix}TEI>"))
+    other = F.raise_error(F.concat(F.lit(f"TEI elements of another prefix than '{prefix}' in "), F.input_file_name()))
+    rows = raw.filter((start > 0) | F.col("value").rlike(_ELEMENT)).select(F.when(start > 0, whole).otherwise(other).alias("frag"))
+    return with_index(rows.select(F.monotonically_increasing_id().alias("pos"), "frag")), declared
 
 
 def _local(tag: object) -> str:
@@ -85,12 +96,12 @@ def _joined(node: ET.Element, skip: Callable[[ET.Element], bool]) -> str:
 def parse(fragment: str, declared: str = "") -> dict:
     """What is extracted from one TEI element; ``broken`` if it can't be parsed."""
     row = dict.fromkeys(("xml_id", "n", "text", "text_no_segments", "text_all", "text_all_no_segments"), "")
-    row |= {"terms": {}, "class_codes": [], "has_text": False, "has_segments": False, "broken": False}
+    row |= {"terms": {}, "class_codes": [], "has_text": False, "has_segments": False, "broken": False, "in_namespace": False}
     try:
         tei = ET.fromstring(f"<wrap {declared}>{fragment}</wrap>")[0]
     except (ET.ParseError, IndexError):
         return row | {"broken": True}
-    row |= {"xml_id": tei.get(XML_ID) or "", "n": tei.get("n") or ""}
+    row |= {"xml_id": tei.get(XML_ID) or "", "n": tei.get("n") or "", "in_namespace": tei.tag == f"{{{NAMESPACE}}}TEI"}
     body = None
     for e in tei.iter():
         name, value = _local(e.tag), (e.text or "").strip()
@@ -110,21 +121,23 @@ def parse(fragment: str, declared: str = "") -> dict:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Extracted documents: pos and the columns of ``parse``."""
+    """Extracted documents: pos, idx and the columns of ``parse``."""
     return extract(*fragments(spark, path))
 
 
 def extract(rows: DataFrame, declared: str = "") -> DataFrame:
-    """The same for rows (pos, frag)."""
+    """The same for rows (pos, frag), or (pos, idx, frag)."""
     ship(rows.sparkSession)
+    numbers = [c for c in ("pos", "idx") if c in rows.columns]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = pd.DataFrame([parse(f, declared) for f in frame["frag"]])
-            out.insert(0, "pos", frame["pos"].to_numpy())
+            for i, c in enumerate(numbers):
+                out.insert(i, c, frame[c].to_numpy())
             yield out
 
-    return rows.mapInPandas(run, f"pos long, {_SCHEMA}")
+    return rows.mapInPandas(run, f"{', '.join(f'{c} long' for c in numbers)}, {_SCHEMA}")
 
 
 def term(kind: str, party_fallback: bool = True) -> Column:
@@ -145,24 +158,25 @@ def modality(default: str | None = None) -> Column:
 
 
 def with_index(docs: DataFrame, pos: str = "pos") -> DataFrame:
-    """Add ``idx``, the gapless number of a row in the order of monotonically increasing positions."""
+    """Add ``idx``, the gapless number of a row in the order of monotonically increasing positions, none of which may be missing."""
     part = F.shiftright(F.col(pos), 33)
     counts = docs.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", before.alias("_before"))
-    return docs.join(offsets, part == F.col("_part")).withColumn("idx", F.col("_before") + F.col(pos).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before")
+    # A row for each partition of the scan.
+    return docs.join(F.broadcast(offsets), part == F.col("_part")).withColumn("idx", F.col("_before") + F.col(pos).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before")
 
 
 def prepared(docs: DataFrame, label_fields: list[str], default_modality: str | None = None, drop_segments: bool = False, segment_modalities: list[str] | None = None, party_fallback: bool = True) -> DataFrame:
-    """Scanned documents as id, label_raw, modality, crawl, domain, actor, text (and pos)."""
-    docs = with_index(docs)
+    """Scanned documents as id, label_raw, modality, crawl, domain, actor, text (and pos, broken)."""
+    docs = docs if "idx" in docs.columns else with_index(docs)
     ident = F.coalesce(F.when(F.col("xml_id") != "", F.col("xml_id")), F.when(F.col("n") != "", F.col("n")), F.concat(F.lit("doc_"), F.col("idx").cast("string")))
     mode = modality(default_modality)
     without = F.lit(drop_segments) & (mode.isin(*segment_modalities) if segment_modalities else F.lit(True))
     return docs.select(
         "pos", ident.alias("id"), ident.alias("xml_id"), first_term(label_fields, party_fallback).alias("label_raw"), mode.alias("modality"),
         term("crawl", party_fallback).alias("crawl"), term("domain", party_fallback).alias("domain"), term("actor").alias("actor"),
-        F.when(without, F.col("text_no_segments")).otherwise(F.col("text")).alias("text"),
+        F.when(without, F.col("text_no_segments")).otherwise(F.col("text")).alias("text"), "broken",
     )
 
 

@@ -38,13 +38,20 @@ def stripped(df: DataFrame) -> DataFrame:
     return df.withColumns({c: strip(F.col(c)) for c in ("text", "label")}).filter("text <> ''")
 
 
+def _present(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return read_tsv(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _first(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple[str, DataFrame] | None:
     for name in names:
-        try:
-            return name, read_tsv(spark, f"{folder}/{name}.tsv")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        df = _present(spark, f"{folder}/{name}.tsv")
+        if df is not None:
+            return name, df
     return None
 
 
@@ -73,16 +80,20 @@ def sniff(columns: list[str]) -> tuple[str, str | None]:
 
 
 def read_audited(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Splits by name as (split, id, text); the columns are those of the first file."""
+    """Splits by name as (split, id, text); the columns are those of the first file. Missing files are left out; if all are, that is an error."""
     out = None
     names: tuple[str, str | None] | None = None
     for split, path in paths.items():
-        df = read_tsv(spark, path)
+        df = _present(spark, path)
+        if df is None:
+            continue
         names = names or sniff(df.columns)
         text, ident = names
         get = lambda c: F.col(c) if c in df.columns else F.lit("")  # noqa: E731, B023
         part = df.select(F.lit(split).alias("split"), (get(ident) if ident else F.lit("")).alias("id"), get(text).alias("text"))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(f"none of {list(paths.values())}")
     return out
 
 

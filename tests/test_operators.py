@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,62 @@ def test_leaks_equal_the_greedy_walk(spark):
     assert found == expected
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_leaks_where_ids_repeat(spark, seed):
+    """A row that leaks by its text leaves its id to later ones; null and blank ids are never equal."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([None, " ", *"abcdefghij"]), rng.choice("uvwxyzst") + rng.choice(["", "!", " q"]), rng.choice(["train", "dev", "test"])) for i in range(80)]
+    df = spark.createDataFrame(rows, "pos int, id string, text string, split string").repartition(3)
+    found = {r.pos for r in dedup.remove_leaks(df).collect()}
+    ids, texts, expected = set(), set(), set()
+    for pos, ident, text, _ in sorted(rows, key=lambda r: (["train", "dev", "test"].index(r[3]), r[0])):
+        own, same = (ident or "").strip(), text.replace("!", "").strip()
+        if own in ids or same in texts:
+            continue
+        ids |= {own} - {""}
+        texts.add(same)
+        expected.add(pos)
+    assert found == expected
+
+
+def test_limits_are_exact(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), 5.0, None) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    found = {r.column: (r.low, r.high) for r in stats.robust_limits(df, "a", "b", "c", "d").collect()}
+    for i, c in enumerate("abc"):
+        v = sorted(r[i] for r in rows)
+        for p, got in zip((0.01, 0.99), found[c]):
+            k = int(p * (len(v) - 1))
+            assert abs(got - (v[k] + (v[k + 1] - v[k]) * (p * (len(v) - 1) - k))) < 1e-9
+    assert found["d"] == (None, None)
+    few = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "a double")
+    assert [(round(r.low, 6), round(r.high, 6)) for r in stats.robust_limits(few, "a").collect()] == [(1.02, 3.96)]
+    assert [tuple(r) for r in stats.robust_limits(few.limit(0), "a").collect()] == [("a", None, None)]
+
+
+def test_seed_of_a_kernel_is_kept(spark, tmp_path):
+    words = {"a": "red green blue", "b": "one two three"}
+    rows = [(str(i), " ".join(random.Random(i).choices(words["ab"[i % 2]].split(), k=8)), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, text string, label string")
+    model = models.train(df, models.Settings("m", "SVC", {"max_iter": 10}, (1, 2), 500, 2), seed=7)
+    found = models.predict(model, df)
+    assert model.seed == 7 and found.filter("label = prediction").count() == 60
+    model.save(f"file://{tmp_path}/m")
+    again = models.load(f"file://{tmp_path}/m", model.settings, model.gamma, model.seed)
+    assert models.predict(again, df).exceptAll(found).count() == 0
+
+
+def test_projection(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.sparse(6, {i % 6: 3.0 + i % 2, (i + 1) % 6: 1.0}) if i % 3 else Vectors.dense([float(i % 4), 0, 2, 0, 1, 0])) for i in range(40)]
+    out = {r.id: (r.x, r.y) for r in models.project_2d(spark.createDataFrame(rows, ["id", "features"])).collect()}
+    m = np.array([v.toArray() for _, v in rows])
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    assert np.allclose(np.abs([out[i] for i in range(40)]), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
 def test_splits_and_empty(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("string").alias("label"))
     assert Counter(r.split for r in splits.three_way(df, 0.5, 0.0, 0.0).collect()).keys() == {"train", "test"}

@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import yaml
 
@@ -47,6 +48,18 @@ def test_profile_from_corpus_to_summary(spark, tmp_path):
     assert cli.main(["evaluate", *args]) == 0 and (tmp_path / "reports2/mix/ideo/sklearn/svm/metrics.json").exists()
     assert cli.main(["audit-tei", f"{out}/web.xml", "--fail-on-critical"]) == 0
     assert cli.main(["audit-splits", f"{out}/data/mix/ideo"]) == 0
+    assert cli.main(["audit-tei", f"{out}/web.xml", "--out-json", f"{out}/audit.json"]) == 0 and json.loads((tmp_path / "audit.json").read_text())["n_docs"] == 80
+    assert cli.main(["stats", f"{out}/data/mix/ideo/train.tsv", "--out-prefix", f"{out}/st"]) == 0
+    assert json.loads((tmp_path / "st.stats.json").read_text())["docs"] > 0
+    assert next((tmp_path / "st.label_dist.csv").glob("part*")).read_text().startswith("label,count")
+    assert meta["n_docs_broken"] == {}
+    # TSV files only, and neither test nor dev rows.
+    shutil.rmtree(tmp_path / "data/mix/ideo/view.parquet")
+    shutil.rmtree(tmp_path / "data/mix/ideo/test.tsv")
+    shutil.rmtree(tmp_path / "data/mix/ideo/job.tsv")
+    assert pipeline.evaluation_rows(spark, f"{out}/data/mix/ideo")[0] == "dev"
+    assert pipeline.training_rows(spark, f"{out}/data/mix/ideo").count() == meta["n_docs_train_balanced"]
+    assert cli.main(["audit-splits", f"{out}/data/mix/ideo"]) == 0 and cli.main(["audit-splits", f"{out}/nothing"]) == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -48,6 +48,26 @@ def test_prefixed(spark, tmp_path):
     assert tei.parse("<TEI><broken></TEI>")["broken"]
 
 
+def test_numbers_and_broken_documents(spark, tmp_path):
+    """Documents without an id get numbers of their own, whatever stands between them; other namespaces are told."""
+    parts = ["<TEI><text>one</text></TEI>", "<TEI><text><p>broken</text></TEI>", "<TEI><text>two</text></TEI>", '<TEI xmlns="urn:x"><text>three</text></TEI>']
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.xml").write_text(f'<teiCorpus xmlns="http://www.tei-c.org/ns/1.0">{"".join(parts)}</teiCorpus>')
+    docs = tei.prepared(tei.scan(spark, str(tmp_path)), ["crawl"])
+    rows = docs.filter("NOT broken").collect()
+    assert sorted(r.id for r in rows) == ["doc_0", "doc_2", "doc_3", "doc_4", "doc_6", "doc_7"] and docs.filter("broken").count() == 2
+    assert sorted(r.text for r in tei.scan(spark, str(tmp_path)).filter("in_namespace").collect()) == ["one", "one", "two", "two"]
+
+
+def test_prefix_far_from_the_beginning(spark, tmp_path):
+    header = "<t:teiHeader>" + "<t:note>n</t:note>" * 300 + "</t:teiHeader>"
+    (tmp_path / "a.xml").write_text(f'<t:teiCorpus xmlns:t="http://www.tei-c.org/ns/1.0">{header}<t:TEI><t:text>hi</t:text></t:TEI></t:teiCorpus>')
+    assert [r.text for r in tei.scan(spark, str(tmp_path)).collect()] == ["hi"]
+    (tmp_path / "b.xml").write_text('<teiCorpus xmlns="http://www.tei-c.org/ns/1.0"><TEI><text>lost?</text></TEI></teiCorpus>')
+    with pytest.raises(Exception, match="another prefix"):
+        tei.scan(spark, str(tmp_path)).collect()
+
+
 def test_audit(spark, corpus):
     docs = tei.audited(tei.scan(spark, corpus))
     c = audit.corpus_counters(docs).first().asDict()
