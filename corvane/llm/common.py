@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..shipping import ship
 
 #: Runs of ASCII white space, as the contracts spell it.
@@ -36,23 +36,6 @@ def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*[F.col(f"_{names.index(old)}").alias(new) for new, old in wanted.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder becomes the
-    checkpoint folder; on a cluster without the setting this is an error,
-    since executors would not see the driver's folder.
-    """
-    context = spark.sparkContext
-    given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -71,6 +54,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The same, and the number of rows, counted while they are written.
+
+    Where lost executors make tasks run again it may come out too high, never
+    too low: it tells empty tables and sizes partitions.
+    """
+    seen = Observation()
+    written = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return written, seen.get["n"]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

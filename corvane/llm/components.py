@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -18,18 +18,24 @@ def _by_least(neighbours: DataFrame) -> DataFrame:
     return neighbours.join(least, F.col("u") == F.col("_u")).select("u", "v", F.least("m", "u").alias("m"))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """One large and one small star over edges (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     large = _by_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     large = cut(large, "large")
     joined = _by_least(large)
     down = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return cut(down.unionByName(joined.select("u", F.col("m").alias("v"))).distinct(), "small")
+    return _marked(down.unionByName(joined.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """Edges, written, and what tells them from others: their number and the sum of their hashes, taken on the way.
+
+    A task that runs twice may spoil a mark; then it differs, and one more round is made.
+    """
+    seen = Observation()
+    edges = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), name)
+    return edges, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,11 +46,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     path.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
-    edges = cut(edges.distinct(), "links")
-    before = _mark(edges)
+    edges, before = _marked(edges.distinct(), "links")
     while before[0]:
-        edges = _stars(edges)
-        after = _mark(edges)
+        edges, after = _stars(edges)
         if after == before:
             break
         before = after

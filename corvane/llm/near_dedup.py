@@ -20,12 +20,12 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_batches, claim, cut, digest_long, narrow, runs, trim
+from .common import BLANKS, bounded_batches, claim, counted, cut, digest_long, narrow, runs, trim
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,10 +33,12 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Standard deviations that a pair's agreement may lie below the similarity's.
 SLACK = 4.0
-#: Further pivots of bands that hold several classes, before their members are joined completely.
+#: Further pivots of a band that holds several classes, before such members are joined completely.
 PIVOTS = 2
 #: Members of a coordinate compared in one group; ids broadcast at most, beyond that the join shuffles.
 BLOCK, BROADCAST_IDS = 512, 200_000
+#: Pairs of signatures compared at once.
+PAIRS = 8192
 #: Texts, and characters of them, signed at once.
 TEXTS, CHARS = 300, 600_000
 
@@ -220,71 +222,96 @@ def _similar(similarity: float):
 
 
 _MEMBER = "token long, c int, i long, j long, row long, component long, block long, coords array<int>, signature binary"
-
-
-def _candidates(rows: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member of a block pair, those after it that agree on enough coordinates, are of another class, and share no earlier coordinate of both prefixes."""
-    classes, side, c = rows["component"].to_numpy(), rows["block"].to_numpy(), rows["c"].iloc[0]
-    signature = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), -1)
-    prefix = np.zeros(signature.shape, bool)
-    for k, coords in enumerate(rows["coords"]):
-        prefix[k, coords] = True
-    across = rows["i"].iloc[0] != rows["j"].iloc[0]
-    for i in range(len(rows) - 1):
-        other = classes[i + 1 :] != classes[i]
-        if across:
-            other &= side[i + 1 :] != side[i]
-        at = np.flatnonzero(other) + i + 1
-        equal = signature[at] == signature[i]
-        at, equal = at[enough := equal.sum(1) >= least], equal[enough]
-        yield i, at[(equal & prefix[at] & prefix[i]).argmax(1) == c]
+_PLACE = ["token", "i", "j"]
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Of sorted rows, batches of whole block pairs and the places where these begin, and end. There may be very many small ones."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        keys = np.stack([batch.column(c).to_numpy() for c in _PLACE])
+        starts = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)
+        if len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts
+        rest = batch.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
+class _Members:
+    """The members of some block pairs as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        column = lambda name: batch.column(name).to_numpy()
+        self.row, self.component, self.block, self.c = column("row"), column("component"), column("block"), column("c")
+        self.i, self.j = column("i"), column("j")
+        self.signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+        n = pa.compute.list_value_length(batch.column("coords")).to_numpy()
+        self.prefix = np.zeros(self.signature.shape, bool)
+        self.prefix[np.repeat(np.arange(len(n)), n), batch.column("coords").flatten().to_numpy()] = True
+
+    def candidates(self, start: int, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block pair that agree on enough coordinates, are of different classes, and meet in no earlier coordinate of both prefixes."""
+        within = self.i[start] == self.j[start]
+        here = np.arange(start, end)
+        left, right = (here, here) if within else (here[self.block[start:end] == self.i[start]], here[self.block[start:end] != self.i[start]])
+        found = [(left[:0], left[:0])]
+        step = max(1, PAIRS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            equal = self.signature[some][:, None] == self.signature[right][None]
+            fits = (equal.sum(2) >= least) & (self.component[some][:, None] != self.component[right][None])
+            if within:
+                fits &= some[:, None] < right[None]
+            x, y = np.nonzero(fits)
+            first = (equal[x, y] & self.prefix[some[x]] & self.prefix[right[y]]).argmax(1) == self.c[start]
+            found.append((some[x[first]], right[y[first]]))
+        return tuple(np.concatenate(f) for f in zip(*found))
 
 
 def _open(least: int):
-    """The members of a block pair that are candidates of any other."""
+    """The members of block pairs that are candidates of any other."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", ignore_index=True)
-        some = np.zeros(len(rows), bool)
-        for i, at in _candidates(rows, least):
-            some[at] = True
-            some[i] |= len(at) > 0
-        return rows.loc[some, _MEMBER.replace(",", "").split()[::2]]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _groups(batches):
+            members, some = _Members(batch), np.zeros(batch.num_rows, bool)
+            for start, end in zip(bounds, bounds[1:]):
+                for side in members.candidates(start, end, least):
+                    some[side] = True
+            yield batch.filter(pa.array(some))
 
     return run
 
 
 def _bridges(similarity: float, least: int):
-    """Links of a block pair that join classes: compared exactly, one for two classes that no link before has joined."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", ignore_index=True)
-        sets = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
-        sizes = np.array([len(e) for e in sets])
-        ends = np.cumsum(sizes)
-        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        numbered = np.split(number, ends[:-1])
-        marked = np.zeros(number.max(initial=0) + 1, bool)
-        root = {c: c for c in rows["component"]}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        classes, nodes, found = rows["component"].tolist(), rows["row"].tolist(), []
-        for i, at in _candidates(rows, least):
-            at = at[np.minimum(sizes[at], sizes[i]) >= similarity * np.maximum(sizes[at], sizes[i])]
-            if len(at):
-                marked[numbered[i]] = True
-                both = np.array([marked[numbered[k]].sum() for k in at])
-                marked[numbered[i]] = False
-                for k in at[both >= similarity * (sizes[at] + sizes[i] - both) - 1e-9].tolist():
-                    x, y = find(classes[i]), find(classes[k])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        found.append((nodes[i], nodes[k]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    """Links of block pairs that join classes: compared exactly, one for two classes that no link before has joined."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _groups(batches):
+            members, found = _Members(batch), []
+            sets = [np.frombuffer(e.as_py(), np.uint64) for e in batch.column("elements")]
+            sizes = np.array([len(e) for e in sets])
+            for start, end in zip(bounds, bounds[1:]):
+                root: dict[int, int] = {}
+
+                def find(c: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(c, c) != c:
+                        root[c] = c = root[root[c]]
+                    return c
+
+                left, right = members.candidates(start, end, least)
+                near = np.minimum(sizes[left], sizes[right]) >= similarity * np.maximum(sizes[left], sizes[right])
+                for x, y in zip(left[near].tolist(), right[near].tolist()):
+                    a, b = find(int(members.component[x])), find(int(members.component[y]))
+                    if a != b:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if both >= similarity * (sizes[x] + sizes[y] - both) - 1e-9:
+                            root[max(a, b)] = min(a, b)
+                            found.append((members.row[x], members.row[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return run
 
@@ -297,23 +324,24 @@ class _Texts:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """The shingle sets of rows: row, elements; written."""
-        wanted = cut(self.nodes.join(wanted.distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), F.col("sha").alias("_sha")), "wanted")
-        n = wanted.count()
+        wanted, n = counted(self.nodes.join(wanted.distinct(), "row", "left_semi").select("row", F.col("id").alias("_id"), F.col("sha").alias("_sha")), "wanted")
         # No key of the join, so that only texts whose ids are wanted are hashed.
         same = F.coalesce(text_key(F.col("text")) == F.col("_sha"), F.lit(False))
         texts = self.rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("id").eqNullSafe(F.col("_id")) & same)
-        sets = cut(texts.select("row", "text").mapInArrow(_sets(self.weighted), "row long, elements binary"), "sets")
-        return sets if sets.count() == n else cut(sets.dropDuplicates(["row"]), "sets")  # rows that repeat an id and its text
+        sets, found = counted(texts.select("row", "text").mapInArrow(_sets(self.weighted), "row long, elements binary"), "sets")
+        return sets if found == n else cut(sets.dropDuplicates(["row"]), "sets")  # rows that repeat an id and its text
 
 
-def _verified(pairs: DataFrame, texts: _Texts, signatures: DataFrame, similarity: float, least: int) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar enough; written."""
+def _verified(pairs: DataFrame, texts: _Texts, signatures: DataFrame, similarity: float, least: int) -> tuple[DataFrame, int]:
+    """Those of the pairs (a, b) whose shingle sets are similar enough, written, and their number."""
     near = pairs.join(signatures.select(F.col("row").alias("a"), F.col("signature").alias("x")), "a")
     near = near.join(signatures.select(F.col("row").alias("b"), F.col("signature").alias("y")), "b")
-    pairs = cut(near.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a long, b long"), "near")
+    pairs, n = counted(near.select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a long, b long"), "near")
+    if not n:
+        return pairs, 0
     sets = texts.sets(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))))
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("elements").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long").distinct(), "similar")
+    return counted(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -351,23 +379,25 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return rows.selectExpr("token", "c", "least(block, k) AS i", "greatest(block, k) AS j", "row", "component", "block")
 
 
-def _dealt(rows: DataFrame, written: DataFrame, place: list[str]) -> DataFrame:
-    """Partitions by the number of rows, which a written table knows: their comparisons cost far more than their bytes tell."""
-    return rows.repartition(written.count() // BLOCK + 8, *place)
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Block pairs side by side, in partitions by the number of rows: their comparisons cost far more than their bytes tell."""
+    return rows.repartition(n // BLOCK + 8, *_PLACE).sortWithinPartitions(*_PLACE, "row")
 
 
-def _joined(nodes: DataFrame, texts: _Texts, signatures: DataFrame, similarity: float, least: int) -> DataFrame:
-    """Links (a, b) between nodes (row, component) that join their classes; written."""
+def _joined(nodes: DataFrame, texts: _Texts, signatures: DataFrame, similarity: float, least: int) -> tuple[DataFrame, int]:
+    """Links (a, b) between nodes (row, component) that join their classes, written, and their number."""
     prefixes = _prefixes(nodes, signatures, least)
     members = prefixes.selectExpr("row", "component", "explode(prefix) AS t").filter("t.several").selectExpr("t.token AS token", "t.c AS c", "row", "component")
-    place = ["token", "i", "j"]
-    blocks = cut(_block_pairs(cut(members, "prefixed")), "blocks")
+    blocks, n = counted(_block_pairs(cut(members, "prefixed")), "blocks")
+    if not n:
+        return blocks.select(F.col("row").alias("a"), F.col("row").alias("b")), 0
     about = prefixes.selectExpr("row", "transform(prefix, t -> t.c) AS coords").join(signatures, "row")
-    candidates = _dealt(blocks.join(about, "row"), blocks, place).groupBy(*place).applyInPandas(_open(least), _MEMBER)
-    candidates = cut(candidates, "candidates")
+    columns = [c.split()[0] for c in _MEMBER.split(", ")]
+    candidates, n = counted(_dealt(blocks.join(about, "row").select(*columns), n).mapInArrow(_open(least), _MEMBER), "candidates")
+    if not n:
+        return candidates.select(F.col("row").alias("a"), F.col("row").alias("b")), 0
     members = candidates.join(texts.sets(candidates.select("row")), "row")
-    found = _dealt(members, candidates, place).groupBy(*place).applyInPandas(_bridges(similarity, least), "a long, b long")
-    return cut(found.distinct(), "bridges")
+    return counted(_dealt(members, n).mapInArrow(_bridges(similarity, least), "a long, b long").distinct(), "bridges")
 
 
 def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str, weighted: bool) -> DataFrame:
@@ -393,28 +423,26 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str, wei
     shared = cut(bands.groupBy("band").agg(F.min("row").alias("pivot"), F.max("row").alias("last")).filter("pivot < last").drop("last"), "shared")
     members = cut(bands.join(shared, "band"), "members")
     pairs = cut(members.filter("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, texts, signatures, similarity, least)
-    classes = cut(components(links).withColumnRenamed("id", "row"), "classes")
-    members = members.select("band", "row")
-    for turn in range(PIVOTS):
-        labelled = cut(_labelled(members, classes), "labelled")
-        pivot = F.min_by(F.struct("row", "component"), digest_long("row", seed=41 + turn)).alias("pivot")
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), pivot).filter("x < y").select("band", "pivot")
-        members = cut(labelled.join(mixed, "band"), "members")
-        pairs = members.filter("component <> pivot.component").select(F.least("row", "pivot.row").alias("a"), F.greatest("row", "pivot.row").alias("b")).distinct()
-        members, pairs = members.select("band", "row"), cut(pairs, "pairs")
-        if pairs.isEmpty():
-            break  # no band holds several classes
-        found = _verified(pairs, texts, signatures, similarity, least)
-        if not found.isEmpty():
-            links, classes = links.unionByName(found), _merged(classes, found)
+    links, n = _verified(pairs, texts, signatures, similarity, least)
+    classes = components(links).withColumnRenamed("id", "row")
 
+    members = members.select("band", "row")
     labelled = cut(_labelled(members, classes), "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    unsettled = cut(labelled.join(mixed, "band", "left_semi").select("row", "component").distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        found = _joined(unsettled, texts, signatures, similarity, least)
-        links, classes = links.unionByName(found), _merged(classes, found)
+    pivots = [F.min_by(F.struct("row", "component"), digest_long("row", seed=41 + k)) for k in range(PIVOTS)]
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.array(*pivots).alias("pivots")).filter("x < y").select("band", "pivots")
+    members, n = counted(labelled.join(mixed, "band").select("band", "row", "component", "pivots"), "mixed")
+    if n:
+        pairs = members.select("row", "component", F.explode("pivots").alias("pivot")).filter("component <> pivot.component")
+        pairs = cut(pairs.select(F.least("row", "pivot.row").alias("a"), F.greatest("row", "pivot.row").alias("b")).distinct(), "pairs")
+        found, n = _verified(pairs, texts, signatures, similarity, least)
+        if n:
+            links, classes = links.unionByName(found), _merged(classes, found)
+        labelled = cut(_labelled(members.select("band", "row"), classes), "labelled")
+        mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
+        unsettled, n = counted(labelled.join(mixed, "band", "left_semi").select("row", "component").distinct(), "unsettled")
+        found, n = _joined(unsettled, texts, signatures, similarity, least) if n else (None, 0)
+        if n:
+            links, classes = links.unionByName(found), _merged(classes, found)
 
     degree = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
     linked = cut(degree.join(classes, "row", "left").withColumn("component", F.coalesce("component", "row")).join(nodes, "row"), "linked")
