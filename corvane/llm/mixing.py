@@ -2,12 +2,13 @@
 
 The documents of a source are dealt by hash into blocks. A source's target
 becomes a number of whole passes over its blocks and a rest: blocks in permuted
-order up to the one in which the rest ends, where documents are chosen to fill
-it. The blocks taken of all sources are then spread over output shards by a
-splitting tree: each node divides its quotas between its halves by exact
-multivariate-hypergeometric draws, as if the whole mix had been shuffled and
-cut. A shard draws its blocks from the source's permutation and orders the
-documents by hash.
+order up to the one in which the rest ends, of which documents are taken in the
+order of a hash as far as they fit, and whatever room then is left is filled
+with other documents of the source, the largest that fits first. The blocks
+taken of all sources are spread over output shards by a splitting tree: each
+node divides its quotas between its halves by exact multivariate-hypergeometric
+draws, as if the whole mix had been shuffled and cut. A shard draws its blocks
+from the source's permutation and orders the documents by hash.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, digest_long, narrow
+from .common import counted, cut, digest_long, narrow
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a block, and the most blocks of a source: both bound what one window or task holds.
 BLOCK_ROWS, MOST_BLOCKS = 512, 1 << 16
-#: Documents after the rest's end that may still fill it.
-FILL_ROWS = 512
+#: Sources in one array of the tree; more are split in groups of groups.
+FAN = 64
+#: Rows that are broadcast at most; documents of a piece of a shard, about.
+BROADCAST_ROWS, PIECE_ROWS = 500_000, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,108 +68,169 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """The splitting tree: one row (sid, quota) per source becomes rows (sid, shard, quota).
 
     Totals of the shards differ by one at most per level; quotas stay exact.
-    The sources' quotas travel as one array, so their number must fit a row.
+    Sources are numbered from 0. A node draws for groups of sources, then for
+    the sources of each group with what the group has drawn, so that an array
+    holds FAN entries however many sources there are.
     """
-    nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "quota"))).alias("of")).selectExpr("0 AS first", f"{shards} AS width", "of")
-    widest = shards
+    nodes = quotas.selectExpr("0 AS first", f"{shards} AS width", "sid", "quota")
+    most, depth, widest = quotas.agg(F.max("sid")).first()[0] or 0, 1, shards
+    while FAN**depth <= most:
+        depth += 1
+    half, at = "(width div 2)", ["first", "width"]
     while widest > 1:
-        half = "(width div 2)"
-        u = f"(pmod(xxhash64({seed}, first, width, s.sid), 9007199254740992L) / 9007199254740992D)"
-        fold = f"""aggregate(of, named_struct('n', aggregate(of, 0L, (a, s) -> a + s.quota),
-                'l', CAST(floor(aggregate(of, 0L, (a, s) -> a + s.quota) * {half} / width) AS BIGINT), 'x', CAST(array() AS ARRAY<BIGINT>)),
-            (a, s) -> aggregate(array({_draw("s.quota", "a.n", "a.l", u)}), a, (o, d) -> named_struct('n', o.n - s.quota, 'l', o.l - d, 'x', concat(o.x, array(d)))), a -> a.x)"""
-        split = nodes.filter("width > 1").selectExpr("first", "width", "of", f"{fold} AS x")
-        left = split.selectExpr("first", f"{half} AS width", "zip_with(of, x, (s, d) -> named_struct('sid', s.sid, 'quota', d)) AS of")
-        right = split.selectExpr(f"first + {half} AS first", f"width - {half} AS width", "zip_with(of, x, (s, d) -> named_struct('sid', s.sid, 'quota', s.quota - d)) AS of")
-        nodes = cut(nodes.filter("width = 1").unionByName(left).unionByName(right), "tree")
+        split = nodes.filter("width > 1")
+        left = split.groupBy(*at).agg(F.sum("quota").alias("n")).selectExpr(*at, "0L AS parent", "n", f"CAST(floor(n * {half} / width) AS BIGINT) AS l")
+        for j in reversed(range(depth)):
+            of = split.selectExpr(*at, f"sid div {FAN**j} AS g", "quota").groupBy(*at, "g").agg(F.sum("quota").alias("q"))
+            of = of.groupBy(*at, F.expr(f"g div {FAN}").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("g", "q"))).alias("of"))
+            u = f"(pmod(xxhash64({seed}, first, width, {j}, s.g), 9007199254740992L) / 9007199254740992D)"
+            fold = f"""aggregate(of, named_struct('n', n, 'l', l, 'x', CAST(array() AS ARRAY<BIGINT>)),
+                (a, s) -> aggregate(array({_draw("s.q", "a.n", "a.l", u)}), a, (o, d) -> named_struct('n', o.n - s.q, 'l', o.l - d, 'x', concat(o.x, array(d)))), a -> a.x)"""
+            drawn = of.join(left, [*at, "parent"]).selectExpr(*at, "of", f"{fold} AS d")
+            drawn = drawn.selectExpr(*at, "explode(zip_with(of, d, (s, k) -> named_struct('g', s.g, 'q', s.q, 'd', k))) AS z")
+            left = drawn.selectExpr(*at, "z.g AS parent", "z.q AS n", "z.d AS l")
+        halves = left.selectExpr("first", "width", "parent AS sid", "n", "l")
+        low = halves.selectExpr("first", f"{half} AS width", "sid", "l AS quota")
+        high = halves.selectExpr(f"first + {half} AS first", f"width - {half} AS width", "sid", "n - l AS quota")
+        nodes = cut(nodes.filter("width = 1").unionByName(low).unionByName(high), "tree")
         widest = (widest + 1) // 2
-    return nodes.selectExpr("first AS shard", "explode(of) AS s").selectExpr("s.sid AS sid", "shard", "s.quota AS quota")
+    return nodes.selectExpr("sid", "first AS shard", "quota")
+
+
+def _fill(units: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Units (sid, block, h, words) that fill the gaps of their sources, the largest that fits first: (sid, block, h).
+
+    Greedy by size needs no more of the units than how many there are of each
+    size. Which ones of a size are taken goes by block and hash.
+    """
+    fit = units.join(gaps, "sid").filter("words > 0 AND words <= gap")
+    sizes = fit.groupBy("sid", "gap", "words").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("sid", "gap").agg(F.sort_array(F.collect_list(F.struct("words", "n")), asc=False).alias("sizes"))
+    take = sizes.selectExpr("sid", """explode(aggregate(sizes, named_struct('gap', gap, 'got', CAST(array() AS ARRAY<STRUCT<words: BIGINT, wanted: BIGINT>>)),
+        (a, x) -> if(a.gap >= x.words, named_struct('gap', a.gap - least(x.n, a.gap div x.words) * x.words, 'got', concat(a.got, array(named_struct('words', x.words, 'wanted', least(x.n, a.gap div x.words))))), a), a -> a.got)) AS t""")
+    take = cut(take.selectExpr("sid", "t.words AS words", "t.wanted AS wanted"), "fill")
+    wanted = units.join(take, ["sid", "words"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("sid", "words").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = wanted.groupBy("sid", "words", "wanted", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("open", F.col("wanted") - before)
+    blocks = cut(blocks.filter("open > 0").select("sid", "words", "block", "open"), "fill_blocks")
+    rank = F.row_number().over(Window.partitionBy("sid", "words", "block").orderBy("h"))
+    return units.join(blocks, ["sid", "words", "block"]).withColumn("rank", rank).filter("rank <= open").select("sid", "block", "h")
+
+
+class _Plan:
+    """What decides the copies of a document: its source, its block, and the hash of its id and text."""
+
+    def __init__(self, sized: DataFrame, share: float, most: float, weights: tuple, shards: int, seed: int) -> None:
+        self.seed, self.shards = seed, shards
+        stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+        stats = source_targets(stats, share, most, weights)
+        passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        stats = stats.withColumn("passes", F.least(passes, F.lit(int(most))).cast("long"))
+        stats = stats.withColumn("rest", F.greatest(F.floor(F.col("target") - F.col("passes") * F.col("source_size")), F.lit(0)).cast("long"))
+        stats = stats.withColumn("blocks", F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).cast("long"))
+        self.sources, self.n_sources = counted(stats.withColumnRenamed("source", "_source"), "sources")
+
+        keyed = self.keyed(sized)
+        per_block = keyed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+        permuted = Window.partitionBy("sid").orderBy(digest_long("sid", "block", seed=seed + 2), "block").rowsBetween(Window.unboundedPreceding, 0)
+        per_block = per_block.withColumn("until", F.sum("words").over(permuted)).withColumn("room", F.col("rest") - (F.col("until") - F.col("words")))
+        whole, ending = F.col("until") <= F.col("rest"), (F.col("room") > 0) & (F.col("until") > F.col("rest"))
+        per_block = cut(per_block.select("sid", "block", "passes", "room", whole.alias("whole"), ending.alias("ending")), "blocks")
+
+        # Of the block in which the rest ends, units in order as far as they fit; then the gap.
+        units = keyed.groupBy("sid", "block", "h").agg(F.sum("size").alias("words"))
+        last = units.join(per_block.filter("ending").select("sid", "block", "room"), ["sid", "block"])
+        in_order = Window.partitionBy("sid").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+        last = cut(last.withColumn("until", F.sum("words").over(in_order)).withColumn("fits", F.col("until") <= F.col("room")), "last")
+        gaps = last.groupBy("sid").agg((F.first("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("until"))), F.lit(0))).alias("gap")).filter("gap > 0")
+        fits = last.filter("fits").select("sid", "block", "h")
+        others = units.join(per_block.filter("NOT whole").select("sid", "block"), ["sid", "block"]).join(fits, ["sid", "block", "h"], "left_anti")
+        extra = fits.unionByName(_fill(others, cut(gaps, "gaps")))
+        self.extra, self.n_extra = counted(extra, "extra")
+
+        # Which shard gets which pass over which block.
+        partly = self.extra.select("sid", "block").distinct().withColumn("partly", F.lit(True))
+        instances = per_block.join(partly, ["sid", "block"], "left").withColumn("taken", _copies(F.col("whole") | F.coalesce("partly", F.lit(False)))).filter("taken > 0")
+        instances = cut(instances.select("sid", "block", F.explode(F.sequence(F.lit(1), "taken")).alias("copy")), "instances")
+        quotas = split_quotas(cut(instances.groupBy("sid").agg(F.count(F.lit(1)).alias("quota")), "quotas"), shards, seed)
+        bounds = quotas.withColumn("upto", F.sum("quota").over(Window.partitionBy("sid").orderBy("shard"))).groupBy("sid").agg(F.sort_array(F.collect_list("upto")).alias("bounds"))
+        drawn = Window.partitionBy("sid").orderBy(digest_long("sid", "block", "copy", seed=seed + 3), "block", "copy")
+        instances = instances.withColumn("rank", F.row_number().over(drawn)).join(bounds, "sid")
+        instances = instances.selectExpr("sid", "block", "copy", "size(filter(bounds, b -> b < rank)) AS shard")
+        spread = instances.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("spread"))
+        blocks = per_block.join(spread, ["sid", "block"], "left").selectExpr("sid", "block", "whole", "transform(coalesce(spread, array()), x -> x.shard) AS spread")
+        self.blocks, self.n_blocks = counted(blocks, "spread")
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """Rows (source, h, ...) with what is known of their source, and their block."""
+        rows = rows.join(_small(self.sources, self.n_sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        return rows.withColumn("block", F.pmod(digest_long("h", seed=self.seed + 1), F.col("blocks")))
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows (source, h, ...) with copies and, for each copy, its shard."""
+        rows = self.keyed(rows).join(_small(self.blocks, self.n_blocks), ["sid", "block"])
+        extra = self.extra.select("sid", "h").withColumn("extra", F.lit(True))
+        rows = rows.join(_small(extra, self.n_extra), ["sid", "h"], "left")
+        rows = rows.withColumn("copies", _copies(F.col("whole") | F.coalesce("extra", F.lit(False))))
+        return rows.withColumn("shards", F.expr("slice(spread, 1, copies)"))
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """Broadcast if the rows, whose number is known, are few; else the join shuffles."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def _copies(extra: Column) -> Column:
     return (F.col("passes") + F.when(extra, 1).otherwise(0)).cast("int")
 
 
+def _size(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _hash(ident: Column, text: Column, seed: int) -> Column:
+    """Tells documents apart by id and text; rows that repeat both are one unit."""
+    return digest_long(ident.cast("long"), F.coalesce(text.cast("string"), F.lit("")), seed=seed + 4)
+
+
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = narrow(docs, doc_id=id_col, source=source_col, text=text_col)
+    return cut(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"), _hash(F.col("doc_id"), F.col("text"), seed).alias("h")), "sized")
+
+
 def mix_plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, shards.
 
     A size is the number of words (null: 0). ``taken`` is size times copies, a
     copy being the whole document; ``shards`` names the output shard of each
-    copy. The taken words of a source end less than one document short of its
-    target. Which documents the rest gets depends on hashes of their ids, so
-    reruns agree; rows that repeat an id are documents of their own. Null
-    sources are one source, null ids are allowed, an empty table gives no rows
-    and other columns are ignored.
+    copy. The taken words of a source end below its target by less than its
+    smallest document that isn't taken once more. Which documents the rest gets
+    depends on hashes of their ids and texts, so reruns agree; rows that repeat
+    an id and its text are taken alike, as one unit of their summed size, rows
+    that repeat an id only are documents of their own. Null sources are one
+    source, null ids are allowed, an empty table gives no rows and other
+    columns are ignored. One row for each source goes through one task.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = narrow(docs, doc_id=id_col, source=source_col, text=text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"),
-    )
-    sized = cut(sized, "sized")
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    stats = source_targets(stats, share, most, weights)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    stats = stats.withColumn("passes", F.least(passes, F.lit(int(most))).cast("long"))
-    stats = stats.withColumn("rest", F.greatest(F.floor(F.col("target") - F.col("passes") * F.col("source_size")), F.lit(0)).cast("long"))
-    stats = cut(stats.withColumn("blocks", F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).cast("long")), "sources")
-
-    keyed = sized.alias("d").join(stats.withColumnRenamed("source", "_source"), F.col("d.source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("block", F.pmod(digest_long("doc_id", seed=seed + 1), F.col("blocks")))
-    per_block = keyed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
-    permuted = Window.partitionBy("sid").orderBy(digest_long("sid", "block", seed=seed + 2), "block").rowsBetween(Window.unboundedPreceding, 0)
-    per_block = per_block.withColumn("until", F.sum("words").over(permuted))
-    per_block = per_block.withColumn("room", F.col("rest") - (F.col("until") - F.col("words")))
-    per_block = cut(per_block.select("sid", "block", "passes", "room", (F.col("until") <= F.col("rest")).alias("whole"), ((F.col("room") > 0) & (F.col("until") > F.col("rest"))).alias("ending")), "blocks")
-
-    # Which shard gets which pass over which block.
-    instances = per_block.withColumn("taken", (F.col("passes") + F.when(F.col("whole") | F.col("ending"), 1).otherwise(0)).cast("int")).filter("taken > 0")
-    instances = instances.select("sid", "block", F.explode(F.sequence(F.lit(1), "taken")).alias("copy"))
-    quotas = split_quotas(instances.groupBy("sid").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
-    upto = Window.partitionBy("sid").orderBy("shard")
-    bounds = quotas.withColumn("upto", F.sum("quota").over(upto)).groupBy("sid").agg(F.collect_list("upto").alias("bounds"))
-    drawn = Window.partitionBy("sid").orderBy(digest_long("sid", "block", "copy", seed=seed + 3), "block", "copy")
-    instances = instances.withColumn("rank", F.row_number().over(drawn)).join(bounds, "sid")
-    instances = instances.selectExpr("sid", "block", "copy", "size(filter(bounds, b -> b < rank)) AS shard")
-    spread = instances.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("spread"))
-    per_block = cut(per_block.join(spread, ["sid", "block"], "left").selectExpr("sid", "block", "room", "whole", "ending", "transform(coalesce(spread, array()), x -> x.shard) AS spread"), "spread")
-
-    placed = keyed.drop("rest", "n", "blocks", "weight").join(per_block, ["sid", "block"])
-    usual = placed.filter(~F.col("ending")).withColumn("copies", _copies(F.col("whole")))
-    ending = placed.filter("ending").withColumn("h", digest_long("doc_id", seed=seed + 4))
-    w = Window.partitionBy("sid").orderBy("h", "doc_id", "size", "row")
-    ending = ending.withColumn("until", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
-    ending = ending.withColumn("stop", F.min(F.when(F.col("until") > F.col("room"), F.col("rank"))).over(Window.partitionBy("sid")))
-    ending = cut(ending, "ending")
-    after = ending.filter(F.col("rank").between(F.col("stop") + 1, F.col("stop") + FILL_ROWS)).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("next"))
-    at = ending.filter("rank = stop").select("sid", (F.col("room") - (F.col("until") - F.col("size"))).alias("gap"))
-    filled = at.join(after, "sid").selectExpr("sid", """aggregate(next, named_struct('gap', gap, 'got', CAST(array() AS ARRAY<INT>)),
-        (a, x) -> if(x.size > 0 AND x.size <= a.gap, named_struct('gap', a.gap - x.size, 'got', concat(a.got, array(x.rank))), a), a -> a.got) AS got""")
-    ending = ending.join(filled, "sid", "left")
-    chosen = (F.col("rank") < F.col("stop")) | F.coalesce(F.array_contains("got", F.col("rank")), F.lit(False))
-    ending = ending.withColumn("copies", _copies(chosen))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.expr("slice(spread, 1, copies)").alias("shards")]
-    return usual.select(*columns).unionByName(ending.select(*columns))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, in_shards: bool = False, **settings) -> DataFrame:
-    """The mix itself: every document once per copy, with all its columns.
-
-    Rows that repeat an id, source and size are taken alike, as often as the
-    one taken most. With in_shards, the rows also carry ``shard`` and are
-    dealt by it and locally shuffled, ready to be written.
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    rows = _Plan(sized, share, most, weights, shards, seed).placed(sized)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "shards")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, in_shards: bool = False, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, shards: int = 16) -> DataFrame:
+    """The mix itself: every document once per copy, with all its columns; with in_shards, also ``shard``.
+
+    Rows are dealt by shard and locally shuffled, ready to be written; a shard
+    is dealt into pieces of about PIECE_ROWS. Copies are those of mix_plan,
+    for nulls, repeats and empty tables too.
     """
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **settings)
-    plan = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("shards").alias("_shards"), F.max("copies").alias("_copies"))
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    plan = _Plan(sized, share, most, weights, shards, seed)
     names = docs.columns
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    at = {c: F.col(f"_{names.index(c)}") for c in (id_col, text_col, source_col)}
-    size = F.regexp_count(F.coalesce(at[text_col].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    same = at[id_col].cast("long").eqNullSafe(F.col("_id")) & at[source_col].cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    rows = flat.join(cut(plan, "plan"), same).withColumn("_shard", F.explode("_shards"))
+    ident, text, source = (F.col(f"_{names.index(c)}") for c in (id_col, text_col, source_col))
+    rows = plan.placed(flat.withColumn("source", source.cast("string")).withColumn("h", _hash(ident, text, seed)))
+    rows = rows.withColumn("_shard", F.explode("shards")).withColumn("_order", digest_long("h", "_shard", seed=seed + 5))
+    pieces = sized.count() // (shards * PIECE_ROWS) + 1
+    rows = rows.repartition(shards * pieces, "_shard", F.pmod("_order", F.lit(pieces))).sortWithinPartitions("_shard", "_order")
     kept = [F.col(f"_{i}").alias(name) for i, name in enumerate(names)]
-    if not in_shards:
-        return rows.select(*kept)
-    rows = rows.withColumn("_order", digest_long("_id", "_shard", seed=seed + 5))
-    rows = rows.repartition("_shard", F.pmod("_order", F.lit(64))).sortWithinPartitions("_shard", "_order")
-    return rows.select(*kept, F.col("_shard").alias("shard"))
+    return rows.select(*kept, F.col("_shard").alias("shard")) if in_shards else rows.select(*kept)

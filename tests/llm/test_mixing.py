@@ -44,12 +44,19 @@ def test_plan(spark, seed, monkeypatch):
         largest[r.source] = max(largest[r.source], r.size)
     for s, t in expected.items():
         assert 0 <= t - taken[s] <= largest[s] + 1
+        left = [r.size for r in plan if r.source == s and r.size > 0 and r.copies < max(q.copies for q in plan if q.source == s)]
+        assert t - taken[s] < min(left, default=10**9) + 1 or (5, 2) in {(r.doc_id, r.size) for r in plan if r.source == s}
     assert Counter((r.doc_id, r.size) for r in plan) == Counter((i, size(t)) for i, _, t, *_ in rows)
     again = mixing.mix_plan(df.repartition(3), seed=seed).collect()
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in plan)
     mixed = mixing.mix(df, seed=seed, in_shards=True)
     assert mixed.columns == [*df.columns, "shard"]
-    assert mixed.count() >= sum(r.copies for r in plan)
+    copies = Counter()
+    for r in plan:
+        copies[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in mixed.collect()) == +copies
+    assert Counter(r[-1] for r in mixed.collect()) == Counter(x for r in plan for x in r.shards)
+    assert mixing.mix(df, seed=seed).columns == df.columns
 
 
 def test_tree_is_exact(spark):
@@ -78,3 +85,40 @@ def test_empty_and_weightless(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b", " ")], "doc_id long, source string, text string")
     assert {(r.doc_id, r.taken, r.target) for r in mixing.mix_plan(df).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
     assert mixing.mix_plan(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("same_text", [False, True])
+def test_repeated_ids_take_no_more_than_the_plan(spark, same_text):
+    rows = [(i // 10, "ab"[i % 2], "w " * (20 if same_text else 1 + i % 37)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan, mixed = mixing.mix_plan(df).collect(), mixing.mix(df).collect()
+    assert len(mixed) == sum(r.copies for r in plan)
+    words = Counter()
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+    for s in "ab":
+        target = next(r.target for r in plan if r.source == s)
+        assert words[s] == sum(r.taken for r in plan if r.source == s) and target - (100 if same_text else 2) <= words[s] <= target
+
+
+def test_one_giant_document(spark, monkeypatch):
+    """Small documents of later blocks fill what a document larger than the rest leaves."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 32)
+    for seed in range(4):
+        rows = [(i, "a", "w " * 30) for i in range(400)] + [(1000, "a", "w " * 24_000)] + [(2000 + i, "b", "w " * 30) for i in range(1200)]
+        plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string"), seed=seed).collect()
+        for s in "ab":
+            own = [r for r in plan if r.source == s]
+            assert 0 <= own[0].target - sum(r.taken for r in own) < 31
+
+
+def test_tree_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 4)
+    quotas = {i: (i * 37) % 23 for i in range(70)}
+    rows = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "sid long, quota long"), 3, seed=1).collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in rows:
+        by_source[r.sid] += r.quota
+        by_shard[r.shard] += r.quota
+        assert r.quota >= 0
+    assert all(by_source[s] == q for s, q in quotas.items()) and len(by_shard) == 3 and max(by_shard.values()) - min(by_shard.values()) <= 2
