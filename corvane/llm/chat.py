@@ -4,9 +4,10 @@ Legal conversations are an automaton: an optional system turn, then user and
 assistant turns in alternation, ending with the assistant. Every turn can be
 kept, relabelled, or merged into the turn before it, and empty turns can be
 inserted; dynamic programming over (turn, state) finds the cheapest legal
-sequence, which is then rendered. Long conversations are repaired in parts:
-each part's costs from every state to every state are a small matrix, matrices
-chain by min-plus products, and so every part learns where it begins and ends.
+sequence, which is then rendered. Long conversations are repaired in parts of
+equal numbers of turns: each part's costs from every state to every state are a
+small matrix, matrices are combined by min-plus products up a tree, and down
+the tree every part learns where it begins and ends.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, cut, narrow
+from .common import bounded_batches, claim, counted, cut, narrow
 
 ROLES = ("system", "user", "assistant")
 START = 3
@@ -31,8 +33,8 @@ ENDS = (2, START)
 KEEP, MERGE, RELABEL, INSERT, UNNAMED = 0, 1, 4, 2, 1
 #: Other names of the roles.
 NAMES = {"human": 1, "prompter": 1, "gpt": 2, "bot": 2, "model": 2, "ai": 2} | {r: i for i, r in enumerate(ROLES)}
-#: Turn numbers in a part of a conversation.
-PART = 1024
+#: Turns of a part of a conversation, and parts, or groups of them, of a node of the tree.
+PART, FAN = 1024, 1024
 FAR = 1 << 40
 
 
@@ -142,27 +144,81 @@ def _matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys.append(key)
         tables.append(costs([role_of(r[0]) for r in rows]).ravel().tolist())
     if keys:
-        conv, part = zip(*keys)
-        yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(part, pa.int64()), pa.array(tables, pa.list_(pa.int64()))], names=["conv_id", "part", "costs"])
+        number, part = zip(*keys)
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(part, pa.int64()), pa.array(tables, pa.list_(pa.int64()))], names=["no", "part", "costs"])
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """Where each part of one conversation begins and ends on the cheapest way."""
+def _tables(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.array(c).reshape(4, 4) for c in rows["costs"]]
+
+
+def _product(rows: pd.DataFrame) -> pd.DataFrame:
+    """The costs of several parts, one after the other, as one: a min-plus product."""
+    table, *others = _tables(rows.sort_values("part"))
+    for t in others:
+        table = (table[:, :, None] + t[None]).min(1)
+    return pd.DataFrame({"no": rows["no"].iloc[:1], "part": rows["above"].iloc[:1], "costs": [table.ravel().tolist()]})
+
+
+def _chain(rows: pd.DataFrame, within: pd.DataFrame) -> pd.DataFrame:
+    """Where each part begins and ends on the cheapest way through them all, from the state and to the state given, if one is: else to the cheapest legal end."""
     rows = rows.sort_values("part")
-    tables = [np.array(c).reshape(4, 4) for c in rows["costs"]]
-    best = [np.full(4, FAR)]
-    best[0][START] = 0
+    first, last, final = within[["first", "last", "final"]].iloc[0]
+    tables, best = _tables(rows), [np.full(4, FAR)]
+    best[0][int(first)] = 0
     for t in tables:
         best.append((best[-1][:, None] + t).min(0))
     closing = np.array([INSERT * len(CLOSING[s]) for s in range(4)])
-    state = int((best[-1] + closing).argmin())
+    state = int((best[-1] + closing).argmin()) if last < 0 else int(last)
     ends = [state]
     for t, before in zip(reversed(tables), reversed(best[:-1])):
         state = int((before + t[:, state]).argmin())
         ends.append(state)
     ends.reverse()
     n = len(tables)
-    return pd.DataFrame({"conv_id": rows["conv_id"], "part": rows["part"], "first": ends[:-1], "last": ends[1:], "final": [i == n - 1 for i in range(n)]})
+    return pd.DataFrame({"no": rows["no"], "part": rows["part"], "first": ends[:-1], "last": ends[1:], "final": [bool(final) and i == n - 1 for i in range(n)]})
+
+
+def _states(matrices: DataFrame, parts: int) -> DataFrame:
+    """First and last state of every part, and whether it is the last one, by a tree over the parts."""
+    levels, size = [matrices], parts
+    while size > FAN:
+        above = levels[-1].withColumn("above", F.expr(f"part div {FAN}"))
+        levels.append(cut(above.groupBy("no", "above").applyInPandas(_product, "no long, part long, costs array<long>"), "products"))
+        size = -(-size // FAN)
+    states = levels[-1].select("no").distinct().selectExpr("no", "0L AS part", f"{START} AS first", "-1 AS last", "true AS final")
+    for level in reversed(levels):
+        below = level.withColumn("above", F.expr(f"part div {FAN}"))
+        states = below.groupBy("no", "above").cogroup(states.groupBy("no", "part")).applyInPandas(_chain, "no long, part long, first int, last int, final boolean")
+        states = cut(states, "states")
+    return states
+
+
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the partition and each row's place in it among those of its conversation, which are sorted."""
+    part, current, at = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        place = np.empty(len(numbers), np.int64)
+        starts = np.append(0, np.flatnonzero(numbers[1:] != numbers[:-1]) + 1) if len(numbers) else []
+        for start, end in zip(starts, [*starts[1:], len(numbers)]):
+            at = at if numbers[start] == current else 0
+            place[start:end] = np.arange(at, at + end - start)
+            current, at = numbers[start], at + end - start
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(numbers), part)), pa.array(place)], names=[*batch.schema.names, "pid", "at"])
+
+
+def _ranked(rows: DataFrame, n: int) -> DataFrame:
+    """Add ``rank``, the place of a turn in its conversation, which may be spread over many partitions."""
+    order = ["no", "unnumbered", "turn", "role", "text", "salt"]
+    rows = rows.withColumn("unnumbered", F.col("turn").isNull()).withColumn("salt", F.monotonically_increasing_id())
+    ranged = rows.select("no", "conv_id", "turn", "role", "text", "unnumbered", "salt").repartitionByRange(n // (64 * PART) + 8, *order).sortWithinPartitions(*order)
+    ranged = ranged.select("no", "conv_id", "turn", "role", "text")
+    ranged = cut(ranged.mapInArrow(_numbered, "no long, conv_id long, turn long, role string, text string, pid long, at long"), "ranged")
+    counts = ranged.groupBy("no", "pid").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("no").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = cut(counts.select("no", "pid", before.alias("before")), "before")
+    return ranged.join(counts, ["no", "pid"]).withColumn("rank", F.col("before") + F.col("at")).drop("pid", "at", "before")
 
 
 _OUT = "conv_id long, part long, turns_in long, turns_out long, cost long, merged long, relabelled long, inserted long, roles array<string>, rendered string"
@@ -209,26 +265,31 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """Conversations as training texts: conv_id, part, turns_in, turns_out, cost, merged, relabelled, inserted, roles, rendered.
 
     Turns go by number, null last, ties by role and text; repeated rows are
-    turns of their own. A conversation whose turn numbers span more than PART
-    has a row for each span, to be read in the order of ``part``, so that no
-    task holds a conversation of any length. Unknown and null roles may become
-    any role at a small cost; null texts are empty; rows without conv_id are
-    one conversation. An empty table gives no rows; other columns are ignored.
+    turns of their own. A conversation of more than PART turns has a row for
+    each PART of them, numbered from 0 and to be read in that order, since one
+    conversation may hold a third of all turns and a string no more than two
+    gigabytes; all others have one row. Unknown and null roles may become any
+    role at a small cost; null texts are empty; rows without conv_id are one
+    conversation. An empty table gives no rows; other columns are ignored.
     """
     bounded_batches(turns.sparkSession)
     rows = narrow(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit((1 << 62))))
-    key, order = ["conv_id", "part"], ["conv_id", "part", F.asc_nulls_last("turn"), "role", "text"]
-    spans = rows.groupBy("conv_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")
-    spans = cut(spans.select(F.col("conv_id").alias("_conv")), "spans")
-    states = rows.sparkSession.createDataFrame([], "conv_id long, part long, first int, last int, final boolean")
-    if not spans.isEmpty():
-        long = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
-        matrices = long.repartition(*key).sortWithinPartitions(*order).select(*key, "role").mapInArrow(_matrices, "conv_id long, part long, costs array<long>")
-        states = cut(matrices.groupBy("conv_id").applyInPandas(_chain, states.schema), "states")
-        rows = rows.join(states.withColumnRenamed("conv_id", "_conv").withColumnRenamed("part", "_part"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
-    else:
-        rows = rows.withColumns({"first": F.lit(None).cast("int"), "last": F.lit(None).cast("int"), "final": F.lit(None).cast("boolean")})
-    rows = rows.repartition(*key).sortWithinPartitions(*order).select(*key, "role", "text", "first", "last", "final")
+    key, given = ["conv_id", "part"], {"first": "int", "last": "int", "final": "boolean"}
+    long = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART)
+    long, n_long = counted(long.select(F.col("conv_id").alias("_conv"), "n"), "long")
+    short, same = rows, F.col("conv_id").eqNullSafe(F.col("_conv"))
+    parts = None
+    if n_long:
+        long = long.withColumn("no", F.monotonically_increasing_id())
+        short = rows.join(long, same, "left_anti")
+        own, n = counted(rows.join(long.select("_conv", "no"), same).drop("_conv"), "turns")
+        parts = _ranked(own, n).withColumn("part", F.expr(f"rank div {PART}"))
+        matrices = parts.repartition("no", "part").sortWithinPartitions("no", "part", "rank").select("no", "part", "role").mapInArrow(_matrices, "no long, part long, costs array<long>")
+        most = long.agg(F.max("n")).first()[0]
+        states = _states(cut(matrices, "matrices"), -(-most // PART))
+        parts = parts.join(states, ["no", "part"]).drop("no")
+    rows = short.withColumn("part", F.lit(0).cast("long")).withColumn("rank", F.lit(0).cast("long")).withColumns({c: F.lit(None).cast(t) for c, t in given.items()})
+    rows = rows if parts is None else rows.unionByName(parts)
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "rank", F.asc_nulls_last("turn"), "role", "text").select(*key, "role", "text", *given)
     return rows.mapInArrow(_repaired, _OUT)

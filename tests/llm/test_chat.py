@@ -63,6 +63,7 @@ def test_conversations(spark, monkeypatch):
     assert "< |im_end|>" in whole[20].rendered
     assert "a\n\na\n\nb" in whole[22].rendered and whole[22].merged == 2
     monkeypatch.setattr(chat, "PART", 5)
+    monkeypatch.setattr(chat, "FAN", 2)
     parts = {}
     for r in sorted(format_chats(df).collect(), key=lambda r: (r.conv_id or -1, r.part)):
         parts.setdefault(r.conv_id, []).append(r)
@@ -73,3 +74,22 @@ def test_conversations(spark, monkeypatch):
         assert legal(roles) and text.count("<|im_end|>") == text.count("<|im_start|>") == sum(p.turns_out for p in own)
         assert re.findall(r"t\d+\.\d+", text) == re.findall(r"t\d+\.\d+", whole[c].rendered)
     assert format_chats(df.limit(0)).count() == 0
+
+
+def test_parts_go_by_rank(spark, monkeypatch):
+    """Turns without numbers, with equal numbers and equal turns are dealt into parts of equal size too."""
+    monkeypatch.setattr(chat, "PART", 4)
+    monkeypatch.setattr(chat, "FAN", 3)
+    rows = [(1, None, "user", f"n{i:02d}") for i in range(30)] + [(2, 7, "user", "same")] * 50 + [(None, i * 10**6, "assistant", f"m{i:02d}") for i in range(25)] + [(4, 1, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = {}
+    for r in sorted(format_chats(df).collect(), key=lambda r: (r.conv_id or -1, r.part)):
+        found.setdefault(r.conv_id, []).append(r)
+    assert {c: [r.part for r in own] for c, own in found.items()} == {1: list(range(8)), 2: list(range(13)), None: list(range(7)), 4: [0]}
+    assert all(r.turns_in == 4 for own in found.values() for r in own[:-1])
+    assert re.findall(r"n\d\d", "".join(r.rendered for r in found[1])) == [f"n{i:02d}" for i in range(30)]
+    assert re.findall(r"m\d\d", "".join(r.rendered for r in found[None])) == [f"m{i:02d}" for i in range(25)]
+    monkeypatch.setattr(chat, "PART", 1024)
+    whole = {r.conv_id: r for r in format_chats(df).collect()}
+    for c, own in found.items():
+        assert sum(r.cost for r in own) == whole[c].cost and sum(r.turns_out for r in own) == whole[c].turns_out
