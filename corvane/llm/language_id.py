@@ -27,13 +27,13 @@ from .common import bounded_batches, claim, digest_long, narrow, runs
 ORDER, BITS = 5, 12
 #: Documents a language is fitted on, and those its rejection is calibrated on; expected numbers, as they are chosen by hash.
 FIT_ROWS, CALIBRATION_ROWS = 400, 200
-#: More labels than this are an error: they are columns of the model.
-MOST_LABELS = 1000
+#: Texts that a label needs at least to be calibrated; one that can't expect half as many again is fitted on all its rows.
+LEAST_CALIBRATION = 20
 #: Share of calibration texts that the calibrated limit alone would reject, and the margin put on top of it.
 REJECT_SHARE, REJECT_MARGIN = 0.001, 2.0
 #: Symbols of a passage.
 PASSAGE = 40
-#: Symbols that count towards the score at most.
+#: Symbols that count towards the score at most: beyond, every score would be 1.
 EVIDENCE = 200
 #: Texts, and characters of them, scored at once.
 TEXTS, CHARS = 400, 500_000
@@ -150,7 +150,7 @@ class LanguageModels:
         self.mean, self.spread, self.limit = np.full(k, np.inf), np.full(k, 1.0), np.full(k, np.inf)
         for i in range(k):
             own = entropy[label == i]
-            if len(own) >= 20:
+            if len(own) >= LEAST_CALIBRATION:
                 self.mean[i], self.spread[i] = own.mean(), own.std() + 0.01
                 z = self.distance(own, n[label == i], np.full(len(own), i))
                 # Few or uniform texts show less than their tail: it is taken to reach as far as a normal one at least.
@@ -210,31 +210,34 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels:
     """Models of all labels, from about fit_rows texts of each, calibrated on about calibration_rows others.
 
-    Rows without label or text are not learned from. What reaches the driver is
-    bounded by those samples.
+    Rows without label or text are not learned from. Rows are drawn by a hash of
+    id and text. A label of few rows is fitted on all of them and not
+    calibrated, so that every label with a letter is learned. What reaches the
+    driver, for each label, is the counts of the n-grams of its sample and a
+    number for each different text it is calibrated on.
     """
     bounded_batches(rows.sparkSession)
     rows = narrow(rows, id=id_col, text=text_col, label=label_col).select("id", F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
     rows = rows.filter("label IS NOT NULL AND text IS NOT NULL")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     labels = sorted(counts)
-    grain = 1_000_000
-    draw = F.pmod(digest_long("id", seed=11), F.lit(grain))
-    upto = {c: min(grain, -(-grain * (fit_rows + calibration_rows) // counts[c])) for c in labels}
-    fit_upto = {c: min(grain * fit_rows // (fit_rows + calibration_rows), -(-grain * fit_rows // counts[c])) for c in labels}
-
-    def share(limits: dict[str, int]) -> Column:
-        chain = F.lit(-1)
-        for c, limit in limits.items():
-            chain = F.when(F.col("label") == c, limit).otherwise(chain)
-        return chain
-
-    counted = rows.filter(draw < share(fit_upto)).select("label", "text").mapInArrow(_count, "label string, code long, n long")
-    table = counted.groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas()
-    groups = dict(list(table.groupby("label")))
-    empty = table.iloc[:0]
+    grain, limits = 1_000_000, []
+    for c in labels:
+        n, few = counts[c], 2 * counts[c] * calibration_rows < 3 * LEAST_CALIBRATION * (fit_rows + calibration_rows)
+        upto = min(grain, -(-grain * (fit_rows + calibration_rows) // n))
+        limits.append((c, grain if few else min(grain * fit_rows // (fit_rows + calibration_rows), -(-grain * fit_rows // n)), upto))
+    limits = rows.sparkSession.createDataFrame(limits, "_label string, fit_upto long, upto long")
+    drawn = rows.withColumn("draw", F.pmod(digest_long("id", "text", seed=11), F.lit(grain))).join(F.broadcast(limits), F.col("label") == F.col("_label"))  # a row for each label
+
+    def grams(some: DataFrame) -> dict[str, pd.DataFrame]:
+        found = some.select("label", "text").mapInArrow(_count, "label string, code long, n long")
+        return dict(list(found.groupBy("label", "code").agg(F.sum("n").alias("n")).toPandas().groupby("label")))
+
+    groups = grams(drawn.filter("draw < fit_upto"))
+    missed = [c for c in labels if c not in groups]
+    if missed:  # rows that are all alike may all have been drawn for calibration
+        groups |= grams(rows.filter(F.col("label").isin(missed)))
+    empty = pd.DataFrame({"code": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
     per_label = []
     for c in labels:
         own = groups.get(c, empty).sort_values("code")
@@ -257,8 +260,8 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 entropy = np.bincount(of, sums[np.arange(len(of)), label[of]] * own, len(n)) / np.maximum(n, 1)
                 yield pd.DataFrame({"label": label, "entropy": entropy, "n": n})
 
-    held = rows.filter((draw >= share(fit_upto)) & (draw < share(upto))).select("label", "text")
-    seen = held.mapInPandas(entropies, "label long, entropy double, n long").filter("n > 0").toPandas()
+    held = drawn.filter("draw >= fit_upto AND draw < upto").select("label", "text")
+    seen = held.mapInPandas(entropies, "label long, entropy double, n long").filter("n > 0").distinct().toPandas()
     models.calibrate(seen["label"].to_numpy(), seen["entropy"].to_numpy(), seen["n"].to_numpy())
     return models
 
@@ -287,8 +290,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from the rows whose id allows it and predicts every whole text from
     the text alone. Null, empty and letterless texts are ``und``; without any
-    labelled row all texts are. Ties go to the label first by code point. An
-    empty table gives no rows; other columns are ignored.
+    labelled row all texts are. Ties go to the label first by code point. The
+    score is the label's share of the likelihood that the text's mean over at
+    most EVIDENCE symbols gives all labels. Rows that repeat an id or a text are
+    predicted each for itself, and texts of any length whole. An empty table
+    gives no rows; other columns are ignored.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col, lang=label_col)
     models = fit(rows.filter(learnable()), "doc_id", "text", "lang", **bounds)
@@ -298,7 +304,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **bounds: int) -> DataFrame:
-    """The documents whose language is not rejected, with all their columns."""
+    """The documents whose language is not rejected, with all their columns, whatever their names.
+
+    Null, empty and letterless texts are rejected; repeated rows stay or go
+    alike. Texts in languages that are too rare to be calibrated stay, and an
+    empty table stays empty.
+    """
     names = docs.columns
     models = fit(narrow(docs, doc_id=id_col, text=text_col, lang=label_col).filter(learnable()), "doc_id", "text", "lang", **bounds)
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])

@@ -122,3 +122,14 @@ def test_a_language_left_out(spark, out):
     own = [rejected[r.doc_id] for r in docs if r.lang not in (None, out)]
     mixed = [x for i, x in rejected.items() if i >= 10**6]
     assert len(mixed) >= 40 and sum(foreign) >= 0.8 * len(foreign) and sum(own) <= 2 and sum(mixed) <= 0.02 * len(mixed)
+
+
+def test_small_labels_are_learned(spark):
+    """A label of one document, and one whose documents share id and text, are learned; no number of labels is an error."""
+    docs = [(i, f"plain words of the usual tongue number {i} and more of them", "en") for i in range(1, 300)]
+    rare = [(4000 + k, " ".join(f"{a}{b}{a}{b}x{a}" for a in chr(0x400 + 2 * k) for b in "abcdefgh"), f"r{k:04d}") for k in range(300)]
+    same = [(7, "zzyq qyzz zqyz yzqz", "same")] * 150
+    df = spark.createDataFrame(docs + rare + same, "doc_id long, text string, lang string")
+    models = L.fit(df)
+    assert models.labels == sorted({r[2] for r in docs + rare + same})
+    assert models.predict([rare[0][1], same[0][1], docs[0][1]])["lang"].tolist() == ["r0000", "same", "en"]
