@@ -27,7 +27,7 @@ from .common import bounded_batches, claim, digest_long, narrow, runs
 ORDER, BITS = 5, 12
 #: Documents a language is fitted on, and those its rejection is calibrated on; expected numbers, as they are chosen by hash.
 FIT_ROWS, CALIBRATION_ROWS = 400, 200
-#: Texts that a label needs at least to be calibrated; one that can't expect half as many again is fitted on all its rows.
+#: Texts that a label needs at least to be calibrated; one that can expect fewer is fitted on all its rows.
 LEAST_CALIBRATION = 20
 #: Share of calibration texts that the calibrated limit alone would reject, and the margin put on top of it.
 REJECT_SHARE, REJECT_MARGIN = 0.001, 2.0
@@ -223,7 +223,7 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     labels = sorted(counts)
     grain, limits = 1_000_000, []
     for c in labels:
-        n, few = counts[c], 2 * counts[c] * calibration_rows < 3 * LEAST_CALIBRATION * (fit_rows + calibration_rows)
+        n, few = counts[c], counts[c] * calibration_rows < LEAST_CALIBRATION * (fit_rows + calibration_rows)
         upto = min(grain, -(-grain * (fit_rows + calibration_rows) // n))
         limits.append((c, grain if few else min(grain * fit_rows // (fit_rows + calibration_rows), -(-grain * fit_rows // n)), upto))
     limits = rows.sparkSession.createDataFrame(limits, "_label string, fit_upto long, upto long")
