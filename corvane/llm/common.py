@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = new_folder(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables written in each scratch that is open.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that are cut within: what is needed longer is written to a folder of its own."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """The same, and the number of rows, counted while they are written.
 

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bounded_batches, claim, counted, cut, digest_long, narrow, runs, trim
+from .common import BLANKS, bounded_batches, claim, counted, cut, digest_long, narrow, new_folder, runs, scratch, trim
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -401,6 +401,16 @@ def _joined(nodes: DataFrame, texts: _Texts, signatures: DataFrame, similarity:
 
 
 def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str, weighted: bool) -> DataFrame:
+    """One row per document: id, sha of its text, copy_of, class_id, class_sha, links; written, while the tables on the way are removed."""
+    spark = docs.sparkSession
+    path = new_folder(spark, "classes")
+    with scratch(spark):
+        found = _assigned(docs, similarity, id_col, text_col, weighted)
+        found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+def _assigned(docs: DataFrame, similarity: float, id_col: str, text_col: str, weighted: bool) -> DataFrame:
     """One row per document: id, sha of its text, copy_of, class_id, class_sha, links."""
     bounded_batches(docs.sparkSession)
     least = int(np.floor(COORDINATES * similarity - SLACK * np.sqrt(COORDINATES * similarity * (1 - similarity))))

@@ -303,7 +303,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFram
     a record each; other columns are ignored.
     """
     folder = new_folder(pages.sparkSession, "warc")
-    records = read_archives(write_archives(pages, folder, min_bytes, **columns), with_payload=False)
-    records = cut(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
-    remove(pages.sparkSession, folder)
-    return records
+    try:
+        records = read_archives(write_archives(pages, folder, min_bytes, **columns), with_payload=False)
+        return cut(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    finally:
+        remove(pages.sparkSession, folder)
