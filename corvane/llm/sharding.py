@@ -5,8 +5,9 @@ in a fixed order and at most ``buckets`` of them exist at any input size. A
 binary search over the capacity, each probe a greedy pass over the ordered
 bucket sizes, finds the smallest capacity that fits; the shards are cut there.
 Slots come from two prefix sums, over the cells of a bucket and over buckets,
-and a cell has about the square root of its bucket's rows, so that neither a
-hot text nor a hot bucket ever meets in one task.
+and a cell has about the square root of its bucket's rows, dealt by their place
+in the table, so that neither a hot text nor a hot bucket ever meets in one
+task, whatever the ids are.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, buckets: int = 1 << 16, id_
     A size is the UTF-8 bytes of the text (null: none) plus 1; null and empty
     texts are one group. The law is ``bytes``: the fullest shard is as small as
     contiguous buckets allow, and equal texts share a shard. Slots number each
-    shard gaplessly from 0, equal rows in any order. An empty table gives no
-    rows; other columns are ignored.
+    shard gaplessly from 0, in any order within a text's bucket; ids may be null
+    and repeat. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = narrow(docs, doc_id=id_col, text=text_col).select(
@@ -60,7 +61,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, buckets: int = 1 << 16, id_
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(digest_long(text, seed=7), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    rows = cut(rows, "sizes")
+    rows = cut(rows, "sizes").withColumn("row", F.monotonically_increasing_id())  # numbers of a written table
     groups = cut(rows.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "buckets")
     cuts = minimax_cuts(groups, shards)[1]
     shard = sum((F.when(F.col("bucket") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -68,11 +69,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, buckets: int = 1 << 16, id_
     placed = groups.select("bucket", shard.cast("int").alias("shard"), "n", F.ceil(F.sqrt("n")).alias("cells"))
     placed = placed.select("bucket", "shard", "cells", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_at"))
     # At most ``buckets`` rows of 24 bytes at any input size.
-    rows = rows.join(F.broadcast(placed), "bucket").withColumn("cell", F.pmod(digest_long("doc_id", seed=8), F.col("cells")))
+    rows = rows.join(F.broadcast(placed), "bucket").withColumn("cell", F.pmod(digest_long("row", seed=8), F.col("cells")))
     inside = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
     cells = cells.select("bucket", "cell", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("cell_at"))
-    order = Window.partitionBy("bucket", "cell").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("bucket", "cell").orderBy("row")
     rows = rows.join(cells, ["bucket", "cell"]).withColumn("rank", F.row_number().over(order))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
