@@ -13,12 +13,6 @@ def test_query_equals_its_sql(spark, name):
     compare(spark, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", ["normalize_basic", "normalize_aggressive", "normalize_debias", "token_counts_spacy"])
-def test_query_without_sql_has_a_row_for_each_document(spark, name):
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert catalog.QUERIES[name](spark, SF).count() == n
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
