@@ -125,17 +125,17 @@ class _Plan:
         stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
         stats = source_targets(stats, share, most, weights)
         passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-        stats = stats.withColumn("passes", F.least(passes, F.lit(int(most))).cast("long"))
+        stats = stats.withColumn("passes", F.least(passes, F.lit(int(most))).cast("long")).withColumn("most", F.lit(int(most)))
         stats = stats.withColumn("rest", F.greatest(F.floor(F.col("target") - F.col("passes") * F.col("source_size")), F.lit(0)).cast("long"))
         stats = stats.withColumn("blocks", F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).cast("long"))
         self.sources, self.n_sources = counted(stats.withColumnRenamed("source", "_source"), "sources")
 
         keyed = self.keyed(sized)
-        per_block = keyed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+        per_block = keyed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("most").alias("most"))
         permuted = Window.partitionBy("sid").orderBy(digest_long("sid", "block", seed=seed + 2), "block").rowsBetween(Window.unboundedPreceding, 0)
         per_block = per_block.withColumn("until", F.sum("words").over(permuted)).withColumn("room", F.col("rest") - (F.col("until") - F.col("words")))
         whole, ending = F.col("until") <= F.col("rest"), (F.col("room") > 0) & (F.col("until") > F.col("rest"))
-        per_block = cut(per_block.select("sid", "block", "passes", "room", whole.alias("whole"), ending.alias("ending")), "blocks")
+        per_block = cut(per_block.select("sid", "block", "passes", "most", "room", whole.alias("whole"), ending.alias("ending")), "blocks")
 
         # Of the block in which the rest ends, units in order as far as they fit; then the gap.
         units = keyed.groupBy("sid", "block", "h").agg(F.sum("size").alias("words"))
@@ -181,7 +181,8 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _copies(extra: Column) -> Column:
-    return (F.col("passes") + F.when(extra, 1).otherwise(0)).cast("int")
+    """Passes, and one more; a document without words is no exception to the most that there may be."""
+    return F.least(F.col("passes") + F.when(extra, 1).otherwise(0), F.col("most")).cast("int")
 
 
 def _size(text: Column) -> Column:

@@ -39,7 +39,7 @@ def test_plan(spark, seed, monkeypatch):
     expected, taken, largest = targets(sizes), Counter(), Counter()
     for r in plan:
         assert r.source_size == sizes[r.source] and abs(r.target - expected[r.source]) < 1e-6 * max(1, r.target)
-        assert r.taken == r.size * r.copies <= 2 * r.size and len(r.shards) == r.copies
+        assert r.taken == r.size * r.copies <= 2 * r.size and len(r.shards) == r.copies <= 2
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r.size)
     for s, t in expected.items():
@@ -104,7 +104,7 @@ def test_repeated_ids_take_no_more_than_the_plan(spark, same_text):
 def test_one_giant_document(spark, monkeypatch):
     """Small documents of later blocks fill what a document larger than the rest leaves."""
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 32)
-    for seed in range(4):
+    for seed in range(2):
         rows = [(i, "a", "w " * 30) for i in range(400)] + [(1000, "a", "w " * 24_000)] + [(2000 + i, "b", "w " * 30) for i in range(1200)]
         plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string"), seed=seed).collect()
         for s in "ab":
