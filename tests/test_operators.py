@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import balance, dedup, filters, metrics, models, ranks, sets, splits, stats
+from corvane.functions.text import hash_order
+from corvane.operators import balance, components, dedup, filters, metrics, models, ranks, sets, splits, stats
 
 
 def test_hash_ranks_equal_a_window(spark):
@@ -55,6 +56,60 @@ def test_leaks_where_ids_repeat(spark, seed):
     assert found == expected
 
 
+def _greedy(rows):
+    ids, texts, kept = set(), set(), set()
+    for order, ident, text in sorted(rows):
+        if text not in texts and (ident is None or ident not in ids):
+            kept.add(order)
+            texts.add(text)
+            ids.add(ident)
+    return kept
+
+
+WALK = "_order struct<s:int,p:bigint>, _id string, _hash string"
+
+
+@pytest.mark.parametrize("most,seed", [(1, 1), (4, 2), (25, 3), (1000, 4)])
+def test_walk_by_components(spark, most, seed):
+    """However few rows a task takes, the walk is the sequential one: chains, a hot text, repeated rows, missing ids."""
+    rng = random.Random(seed)
+    chain = [((0, i), f"c{i // 2}", f"t{(i + 1) // 2}") for i in range(40)]
+    some = [((rng.randint(0, 3), 100 + i), rng.choice([None, *(f"i{k}" for k in range(30))]), f"h{rng.randint(0, 30)}") for i in range(120)]
+    hot = [((1, 500 + i), f"x{i % 20}", "hot") for i in range(60)] + [((2, 600 + i), "x1", "hot") for i in range(20)]
+    rows = [*chain, *some, *hot]
+    found = dedup.walked(spark.createDataFrame(rows, WALK).repartition(3), most).collect()
+    assert {(r["_stays"].s, r["_stays"].p) for r in found} == _greedy(rows) and len(found) == len(_greedy(rows))
+
+
+def test_long_chain(spark):
+    """A chain of 100,000 rows that decide each other, one after the other."""
+    n = 100_000
+    chain = spark.range(n).select(F.struct(F.lit(0).alias("s"), F.col("id").alias("p")).alias("_order"), F.concat(F.lit("i"), F.expr("id div 2").cast("string")).alias("_id"), F.concat(F.lit("t"), F.expr("(id + 1) div 2").cast("string")).alias("_hash"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    found = sorted(r["_stays"].p for r in dedup.walked(chain).collect())
+    assert len(tracker.getJobIdsForGroup(None)) - before < 30
+    assert found == list(range(0, n, 2))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 100), (300, 300), (150, 100)] + [(1000, i) for i in range(1001, 1030)]
+    found = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert found == {i: 0 for i in range(1, 51)} | {150: 100, 200: 100} | {i: 1000 for i in range(1001, 1030)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 60, 200])
+def test_shuffled_head(spark, n):
+    df = spark.range(100).select((F.col("id") % 50).cast("string").alias("id"), F.col("id").alias("v")).repartition(4)
+    found = dedup.shuffled_head(df, n).collect()
+    assert len(found) == (min(n, 100) or 100)
+    order = {str(i): spark.range(1).select(hash_order(42, "shuffle", F.lit(str(i)))).first()[0] for i in range(50)} if 0 < n < 100 else {}
+    if order:
+        first = sorted([i for i in order for _ in range(2)], key=lambda i: (order[i], i))[:n]
+        assert sorted(r.id for r in found) == sorted(first)
+
+
 def test_limits_are_exact(spark):
     rng = random.Random(4)
     rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), 5.0, None) for _ in range(30_000)]
@@ -143,7 +198,7 @@ def test_sets_and_stats(spark):
     assert stats.length_histogram(spark.createDataFrame([("c", "one")], "corpus_id string, text string")).first().bin == 0
 
 
-@pytest.mark.parametrize("kind,params", [("LinearSVC", {"class_weight": "balanced"}), ("SVC", {}), ("Perceptron", {"max_iter": 30}), ("DecisionTreeClassifier", {"max_depth": 4}), ("RandomForestClassifier", {"n_estimators": 5, "max_depth": 4})])
+@pytest.mark.parametrize("kind,params", [("LinearSVC", {"class_weight": "balanced"}), ("SVC", {}), ("Perceptron", {"max_iter": 30, "class_weight": "balanced"}), ("DecisionTreeClassifier", {"max_depth": 4}), ("RandomForestClassifier", {"n_estimators": 5, "max_depth": 4})])
 def test_models_learn_and_reload(spark, tmp_path, kind, params):
     words = {"a": "red green blue", "b": "one two three", "c": "cat dog cow"}
     rows = [(str(i), " ".join(random.Random(i).choices(words["abc"[i % 3]].split(), k=8)), "abc"[i % 3]) for i in range(90)]
