@@ -53,8 +53,8 @@ def parser() -> argparse.ArgumentParser:
 def audit_corpus(spark: SparkSession, path: str, issues: str | None = None) -> tuple[dict, list[str]]:
     """The summary of a corpus and what is critical about it; only elements in the TEI namespace count."""
     docs = tei.audited(tei.scan(spark, path).filter("not broken AND in_namespace")).persist()
-    counters, purity = audit.corpus_counters(docs), audit.domain_purity(docs)
-    summary = counters.first().asDict() | {"domain_label_purity": purity.first().asDict()}
+    whole = audit.corpus_summary(docs).first().asDict()
+    summary = {k: v for k, v in whole.items() if k not in audit.PURITY_COLUMNS} | {"domain_label_purity": {k: whole[k] for k in audit.PURITY_COLUMNS}}
     for name, column in (("top_domains", "domains"), ("top_crawls", "crawls"), ("top_modalities", "modalities")):
         summary[name] = [list(r) for r in stats.most_common(docs.select(F.explode(column).alias("v")), "v").collect()]
     codes = docs.select(F.explode("class_codes").alias("c")).select(F.concat_ws(" ", "c.scheme", "c.value").alias("v"))
@@ -62,7 +62,7 @@ def audit_corpus(spark: SparkSession, path: str, issues: str | None = None) -> t
     summary["sample_duplicate_pairs"] = [list(r) for r in audit.duplicate_pairs(docs.withColumn("text", F.col("text_all")), "xml_id").collect()]
     if issues:
         reports.write_table(audit.document_issues(docs), issues, ",")
-    return summary, audit.critical_flags(counters, purity)
+    return summary, audit.critical_flags(whole)
 
 
 def main(argv: list[str] | None = None) -> int:

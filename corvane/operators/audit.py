@@ -72,11 +72,13 @@ def document_flags(docs: DataFrame) -> DataFrame:
     docs: xml_id, domains, crawls (arrays), class_codes (array of scheme and
     value), text_all, text_no_segments, has_text, has_segments.
     """
-    low = lower_collapse("text_all")
     codes = F.transform("class_codes", lambda c: c["value"])
+    # The lowered text is a variable, so that it is made once and not for each value.
+    found = F.transform(F.array(lower_collapse("text_all")), lambda t: F.struct(contains_any(t, F.col("domains")).alias("d"), contains_any(t, F.col("crawls")).alias("c"), contains_any(t, codes).alias("k")))
     n, m = F.length(text_of("text_all")), F.length(text_of("text_no_segments"))
     rows = docs.withColumn("missing_id", strip(text_of("xml_id")) == "")
-    rows = rows.withColumn("domain_in_text", contains_any(low, F.col("domains"))).withColumn("crawl_in_text", contains_any(low, F.col("crawls"))).withColumn("classcode_in_text", contains_any(low, codes))
+    rows = rows.withColumn("_found", found[0])
+    rows = rows.withColumns({"domain_in_text": F.col("_found.d"), "crawl_in_text": F.col("_found.c"), "classcode_in_text": F.col("_found.k")}).drop("_found")
     return rows.withColumn("len_all", n).withColumn("len_no_segments", m).withColumn("segments_risky", F.col("has_segments") & (m > 0) & (n > RISKY_RATIO * m)).withColumn("empty_text", (n == 0) & (m == 0))
 
 
@@ -88,26 +90,60 @@ def document_issues(docs: DataFrame) -> DataFrame:
     return rows.select("xml_id", issues.alias("issues"), "len_all", "len_no_segments", F.size("domains").alias("n_domains"), F.size("crawls").alias("n_crawls"), F.size("class_codes").alias("n_classcodes")).filter("issues <> ''")
 
 
-def corpus_counters(docs: DataFrame) -> DataFrame:
-    """One row of counters over extracted documents, repeated ids and texts included."""
+#: Counters of documents by flags.
+_COUNTERS = {
+    "missing_xml_id": "missing_id", "missing_text_node": "empty_text AND NOT has_text", "empty_text_docs": "empty_text", "segments_present_docs": "has_segments", "segments_dup_risky_docs": "segments_risky",
+    "leak_domain_in_text_docs": "domain_in_text", "leak_crawl_in_text_docs": "crawl_in_text", "leak_classcode_in_text_docs": "classcode_in_text",
+}
+
+
+def corpus_summary(docs: DataFrame) -> DataFrame:
+    """One row of counters over extracted documents, repeated ids and texts and the purity of domains included.
+
+    One pass: a document gives a row for its flags, its id, its text's hash and
+    each of its domains, and all of them are counted by one aggregation, which
+    is combined in every task before its shuffle.
+    """
     rows = document_flags(docs)
-    flags = rows.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.count_if("missing_id").alias("missing_xml_id"), F.count_if(F.col("empty_text") & ~F.col("has_text")).alias("missing_text_node"),
-        F.count_if("empty_text").alias("empty_text_docs"), F.count_if("has_segments").alias("segments_present_docs"), F.count_if("segments_risky").alias("segments_dup_risky_docs"),
-        F.count_if("domain_in_text").alias("leak_domain_in_text_docs"), F.count_if("crawl_in_text").alias("leak_crawl_in_text_docs"), F.count_if("classcode_in_text").alias("leak_classcode_in_text_docs"),
+    flags = F.concat(*[F.when(F.expr(f), "1").otherwise("0") for f in _COUNTERS.values()])
+    own = strip(text_of("xml_id"))
+    key = lambda kind, k, v=None: F.struct(F.lit(kind).alias("kind"), k.alias("key"), (F.lit(None).cast("string") if v is None else v).alias("value"))
+    text = F.get(F.transform(F.filter(F.array(text_key("text_all")), lambda t: t != ""), F.sha1), F.lit(0))
+    single = F.array(key("doc", flags), key("id", F.when(own != "", own)), key("text", text))
+    label = _first_label()
+    domains = F.when(label.isNotNull(), F.transform("domains", lambda d: key("domain", d, label))).otherwise(F.array().cast("array<struct<kind:string,key:string,value:string>>"))
+    keys = rows.select(F.explode(F.concat(single, domains)).alias("k")).select("k.*").filter("key IS NOT NULL")
+    counts = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    of = lambda kind, n: F.when(F.col("kind") == kind, n)
+    counters = [total(of("doc", F.when(F.substring("key", i, 1) == "1", F.col("n")))).alias(name) for i, name in enumerate(_COUNTERS, 1)]
+    pure = (F.col("low") == F.col("high")).cast("long")
+    out = counts.agg(
+        total(of("doc", F.col("n"))).alias("n_docs"), *counters, total(of("id", F.col("n") - 1)).alias("duplicate_xml_id"), total(of("text", F.col("n") - 1)).alias("duplicate_text_exact_docs"),
+        F.count(of("domain", F.lit(1))).alias("domains_total"), total(of("domain", pure)).alias("domains_pure"),
     )
-    ids = docs.filter(strip(text_of("xml_id")) != "").groupBy(strip(text_of("xml_id")).alias("v")).count()
-    texts = docs.filter(text_key("text_all") != "").groupBy(text_hash("text_all").alias("v")).count()
-    repeated = lambda d: d.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).scalar()
-    return flags.withColumn("duplicate_xml_id", repeated(ids)).withColumn("duplicate_text_exact_docs", repeated(texts))
+    return out.withColumn("purity_ratio", F.when(F.col("domains_total") > 0, F.col("domains_pure") / F.col("domains_total")).otherwise(0.0))
+
+
+PURITY_COLUMNS = ("domains_total", "domains_pure", "purity_ratio")
+
+
+def corpus_counters(docs: DataFrame) -> DataFrame:
+    """The counters of documents, ids and texts."""
+    return corpus_summary(docs).drop(*PURITY_COLUMNS)
+
+
+def _first_label() -> Column:
+    """A document's first class code with a value."""
+    return F.get(F.filter(F.transform("class_codes", lambda c: c["value"]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
 
 
 def domain_purity(docs: DataFrame) -> DataFrame:
     """One row: domains with any label, those with one label, and their ratio; a document's label is its first class code with a value."""
-    first = F.get(F.filter(F.transform("class_codes", lambda c: c["value"]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
-    pairs = docs.select(F.explode("domains").alias("d"), first.alias("l")).filter("l IS NOT NULL")
-    per = pairs.groupBy("d").agg(F.countDistinct("l").alias("k"))
-    return per.agg(F.count(F.lit(1)).alias("domains_total"), F.count_if(F.col("k") <= 1).alias("domains_pure"), F.coalesce(F.avg((F.col("k") <= 1).cast("double")), F.lit(0.0)).alias("purity_ratio"))
+    pairs = docs.select(F.explode("domains").alias("d"), _first_label().alias("l")).filter("l IS NOT NULL")
+    per = pairs.groupBy("d").agg(F.min("l").alias("low"), F.max("l").alias("high"))
+    pure = F.col("low") == F.col("high")
+    return per.agg(F.count(F.lit(1)).alias("domains_total"), F.count_if(pure).alias("domains_pure"), F.coalesce(F.avg(pure.cast("double")), F.lit(0.0)).alias("purity_ratio"))
 
 
 def duplicate_pairs(docs: DataFrame, ident: str = "id", text: str = "text", pos: str = "pos", most: int = 20) -> DataFrame:
@@ -117,8 +153,7 @@ def duplicate_pairs(docs: DataFrame, ident: str = "id", text: str = "text", pos:
     return rows.join(firsts, "h").filter(F.col("p") > F.col("f.p")).orderBy("p").limit(most).select("id", F.col("f.id").alias("first_id"))
 
 
-def critical_flags(counters: DataFrame, purity: DataFrame) -> list[str]:
-    """Names of what makes a corpus critical; an action on two one-row frames."""
-    c, p = counters.first(), purity.first()
-    checks = [("duplicate_xml_id", c["duplicate_xml_id"] > 0), ("duplicate_text_exact", c["duplicate_text_exact_docs"] > 0), ("segments_dup_risky", c["segments_dup_risky_docs"] > 0), ("domain_label_purity_high", p["domains_total"] > 0 and p["purity_ratio"] > PURITY)]
+def critical_flags(summary: dict) -> list[str]:
+    """Names of what makes a corpus critical, by the row of ``corpus_summary``."""
+    checks = [("duplicate_xml_id", summary["duplicate_xml_id"] > 0), ("duplicate_text_exact", summary["duplicate_text_exact_docs"] > 0), ("segments_dup_risky", summary["segments_dup_risky_docs"] > 0), ("domain_label_purity_high", summary["domains_total"] > 0 and summary["purity_ratio"] > PURITY)]
     return [name for name, hit in checks if hit]

@@ -1,8 +1,8 @@
 """TEI corpora: a splittable scan, one parse for each document, extraction as columns.
 
 Documents are cut at their closing tag by the text source, so that a file of
-any size is read by many tasks; namespace declarations of the root element are
-given back to each fragment. Mixed content needs a parser that keeps the order
+any size is read by many tasks; namespace declarations of each file's root are
+given back to its fragments. Mixed content needs a parser that keeps the order
 of text and elements, hence one Arrow-batched Python step.
 """
 
@@ -11,11 +11,14 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
 from ..shipping import ship
 
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
@@ -24,35 +27,65 @@ _SCHEMA = (
     "xml_id string, n string, terms map<string, array<string>>, class_codes array<struct<scheme: string, value: string>>, "
     "text string, text_no_segments string, text_all string, text_all_no_segments string, has_text boolean, has_segments boolean, broken boolean, in_namespace boolean"
 )
-
+_COLUMNS = ["xml_id", "n", "terms", "class_codes", "text", "text_no_segments", "text_all", "text_all_no_segments", "has_text", "has_segments", "broken", "in_namespace"]
 
 #: A TEI element's beginning, with its prefix, in text without the tag's end.
 _ELEMENT = r"<((?:[\w.-]+:)?)TEI(?=[\s>/]|$)"
 
 
-def _head(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Prefix of the first TEI element, however far from the beginning, and the root's namespace declarations."""
-    tags = spark.read.option("lineSep", ">").text(path)
-    first = tags.filter(F.col("value").rlike(_ELEMENT)).select(F.regexp_extract("value", _ELEMENT, 1)).first()
-    prefix = first[0] if first else ""
-    head = ">".join(r[0] for r in tags.limit(200).collect())
-    root = re.search(r"<(?:[\w.-]+:)?teiCorpus\b([^>]*)", head)
-    return prefix, " ".join(re.findall(r"xmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')", root[1] if root else ""))
+#: A root element's beginning with its attributes, in text without the tag's end, and a declaration among them.
+_ROOT, _DECLARED = r"<(?:[\w.-]+:)?teiCorpus(?=[\s>/]|$)([^>]*)", r"xmlns(?::[\w.-]+)?\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+#: Bytes of file names and declarations up to which they are sent to every task.
+SENT = 64 << 20
 
 
-def fragments(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Rows (pos, idx, frag), one for each TEI element in file order, and the root's declarations.
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file with TEI elements: file, prefix of the first of them, and the root's namespace declarations.
 
-    idx numbers all elements without gaps, those that can't be parsed as well.
-    A file whose elements have another prefix than the first one is an error.
+    A scan of its own, of tags only: the root and the first element may stand
+    anywhere in a file.
     """
-    prefix, declared = _head(spark, path)
-    raw = spark.read.option("lineSep", f"</{prefix}TEI>").text(path)
+    tags = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    tags = tags.filter(F.col("value").contains("TEI") | F.col("value").contains("teiCorpus"))
+    first = F.min(F.when(F.col("value").rlike(_ELEMENT), F.struct("at", F.regexp_extract("value", _ELEMENT, 1).alias("v"))))
+    declared = F.array_join(F.regexp_extract_all(F.regexp_extract("value", _ROOT, 1), F.lit(_DECLARED), F.lit(0)), " ")
+    root = F.min(F.when(F.col("value").rlike(_ROOT), F.struct("at", declared.alias("v"))))
+    files = tags.groupBy("file").agg(first["v"].alias("prefix"), F.coalesce(root["v"], F.lit("")).alias("declared"))
+    return checkpointed(files.filter("prefix IS NOT NULL"))
+
+
+def _elements(spark: SparkSession, paths: str | list[str], prefix: str) -> DataFrame:
+    """Rows (file, frag) of all elements of a prefix, in file order; an element of another prefix is an error."""
+    raw = spark.read.option("lineSep", f"</{prefix}TEI>").text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
     start = F.regexp_instr("value", F.lit(f"<{prefix}TEI[\\s>]"))
     whole = F.concat(F.expr(f"substring(value, regexp_instr(value, '<{prefix}TEI[\\\\s>]'))"), F.lit(f"</{prefix}TEI>"))
-    other = F.raise_error(F.concat(F.lit(f"TEI elements of another prefix than '{prefix}' in "), F.input_file_name()))
-    rows = raw.filter((start > 0) | F.col("value").rlike(_ELEMENT)).select(F.when(start > 0, whole).otherwise(other).alias("frag"))
-    return with_index(rows.select(F.monotonically_increasing_id().alias("pos"), "frag")), declared
+    other = F.raise_error(F.concat(F.lit(f"TEI elements of another prefix than '{prefix}' in "), F.col("file")))
+    return raw.filter((start > 0) | F.col("value").rlike(_ELEMENT)).select("file", F.when(start > 0, whole).otherwise(other).alias("frag"))
+
+
+def fragments(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (pos, idx, frag, declared), one for each TEI element in file order, with the declarations of its file's root.
+
+    idx numbers all elements without gaps, those that can't be parsed as well.
+    Files may have roots of their own and prefixes of their own; those of one
+    prefix are read together. Elements of several prefixes in one file are an
+    error.
+    """
+    files = heads(spark, path)
+    prefixes = sorted(r[0] for r in files.select("prefix").distinct().collect()) or [""]
+    parts = []
+    for prefix in prefixes:
+        # Names of files, of which the driver has a list as well when it plans the scan.
+        paths = [unquote(r[0]) for r in files.filter(F.col("prefix") == prefix).select("file").collect()] if len(prefixes) > 1 else path
+        parts.append(_elements(spark, paths, prefix))
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = with_index(rows.select(F.monotonically_increasing_id().alias("pos"), "file", "frag"))
+    some = [r[0] for r in files.select("declared").distinct().limit(2).collect()]
+    if len(some) < 2:
+        return rows.withColumn("declared", F.lit("".join(some))).drop("file")
+    size = files.agg(F.sum(F.length("file") + F.length("declared"))).first()[0]
+    of = files.select(F.col("file").alias("_file"), "declared")
+    return rows.join(F.broadcast(of) if size <= SENT else of, F.col("file") == F.col("_file")).drop("file", "_file")
 
 
 def _local(tag: object) -> str:
@@ -122,21 +155,23 @@ def parse(fragment: str, declared: str = "") -> dict:
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Extracted documents: pos, idx and the columns of ``parse``."""
-    return extract(*fragments(spark, path))
+    return extract(fragments(spark, path))
 
 
-def extract(rows: DataFrame, declared: str = "") -> DataFrame:
-    """The same for rows (pos, frag), or (pos, idx, frag)."""
+def extract(rows: DataFrame) -> DataFrame:
+    """The same for rows (pos, frag), with idx and declared or without."""
     ship(rows.sparkSession)
     numbers = [c for c in ("pos", "idx") if c in rows.columns]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = pd.DataFrame([parse(f, declared) for f in frame["frag"]])
+            out = pd.DataFrame([parse(*x) for x in zip(frame["frag"], frame["declared"])], columns=_COLUMNS)
             for i, c in enumerate(numbers):
                 out.insert(i, c, frame[c].to_numpy())
             yield out
 
+    if "declared" not in rows.columns:
+        rows = rows.withColumn("declared", F.lit(""))
     return rows.mapInPandas(run, f"{', '.join(f'{c} long' for c in numbers)}, {_SCHEMA}")
 
 

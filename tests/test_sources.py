@@ -63,11 +63,29 @@ def test_prefix_far_from_the_beginning(spark, tmp_path):
     header = "<t:teiHeader>" + "<t:note>n</t:note>" * 300 + "</t:teiHeader>"
     (tmp_path / "a.xml").write_text(f'<t:teiCorpus xmlns:t="http://www.tei-c.org/ns/1.0">{header}<t:TEI><t:text>hi</t:text></t:TEI></t:teiCorpus>')
     assert [r.text for r in tei.scan(spark, str(tmp_path)).collect()] == ["hi"]
-    (tmp_path / "b.xml").write_text('<teiCorpus xmlns="http://www.tei-c.org/ns/1.0"><TEI><text>lost?</text></TEI></teiCorpus>')
+    (tmp_path / "a.xml").write_text('<t:teiCorpus xmlns:t="http://www.tei-c.org/ns/1.0"><t:TEI/><t:TEI><t:text>hi</t:text></t:TEI><TEI><text>lost?</text></TEI></t:teiCorpus>')
     with pytest.raises(Exception, match="another prefix"):
         tei.scan(spark, str(tmp_path)).collect()
 
 
+def test_files_have_roots_of_their_own(spark, tmp_path):
+    """Declarations that only a later file has, and prefixes that differ, in names that need quoting."""
+    many = "".join(f"<TEI><text>a{i}</text></TEI>" for i in range(80))
+    (tmp_path / "a.xml").write_text(f'<teiCorpus xmlns="http://www.tei-c.org/ns/1.0">{many}</teiCorpus>')
+    (tmp_path / "b.xml").write_text('<teiCorpus xmlns="http://www.tei-c.org/ns/1.0" xmlns:x="urn:x"><TEI><text>b<x:note>c</x:note></text></TEI></teiCorpus>')
+    docs = tei.scan(spark, str(tmp_path))
+    assert docs.filter("broken").count() == 0 and docs.filter("in_namespace").count() == 81
+    for i in range(10):
+        p = f"p{i}:" if i % 3 else ""
+        root = f'<{p}teiCorpus xmlns{":" if p else ""}{p[:-1]}="http://www.tei-c.org/ns/1.0" xmlns:y{i}="urn:{i} &gt; TEI">'
+        (tmp_path / f"c {i}%.xml").write_text(f"<!-- {i} -->{root}" + f'<{p}TEI xml:id="d{i}"><{p}text y{i}:k="v">t{i}</{p}text></{p}TEI>' * 2 + f"</{p}teiCorpus>")
+    docs = tei.scan(spark, str(tmp_path))
+    rows = docs.collect()
+    assert len(rows) == 101 and not any(r.broken for r in rows) and all(r.in_namespace for r in rows)
+    assert sorted(r.text for r in rows) == sorted([f"a{i}" for i in range(80)] + ["b c"] + [f"t{i}" for i in range(10)] * 2)
+    assert sorted(r.idx for r in rows) == list(range(101))
+
+
 def test_audit(spark, corpus):
     docs = tei.audited(tei.scan(spark, corpus))
     c = audit.corpus_counters(docs).first().asDict()
@@ -75,8 +93,10 @@ def test_audit(spark, corpus):
     assert (c["segments_present_docs"], c["segments_dup_risky_docs"], c["leak_domain_in_text_docs"]) == (1, 1, 1)
     issues = {(r.xml_id, r.issues) for r in audit.document_issues(docs).collect()}
     assert ("e", "segments_dup_risky") in issues and ("a", "domain_in_text") in issues and ("a", "empty_text_all") in issues
-    purity = audit.domain_purity(docs)
-    assert set(audit.critical_flags(audit.corpus_counters(docs), purity)) == {"duplicate_xml_id", "segments_dup_risky"}
+    whole = audit.corpus_summary(docs).first().asDict()
+    assert {k: whole[k] for k in audit.PURITY_COLUMNS} == audit.domain_purity(docs).first().asDict()
+    assert audit.corpus_summary(docs.limit(0)).first()["n_docs"] == 0
+    assert set(audit.critical_flags(whole)) == {"duplicate_xml_id", "segments_dup_risky"}
 
 
 def test_tsv_round_trip(spark, tmp_path):
