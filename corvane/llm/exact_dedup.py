@@ -197,6 +197,24 @@ def shared_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return partial.repartition("length", "hash").mapInArrow(_settle, _OWNERS)
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``exact_dedup``, and ``repeated``: whether rows repeat the id that stays, with its text.
+
+    Rows stay as they are, whatever they repeat: only counts and smallest
+    numbers of rows, combined in each task, meet by text and id.
+    """
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANKS, " ")
+    rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    several = cut(shared_texts(docs, id_col, text_col), "owners").withColumnRenamed("sha256", "text_sha256")
+    again = rows.groupBy(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("first")).filter("times > 1")
+    several = several.join(again, (F.col("text_sha256") == F.col("_sha")) & F.col("owner").eqNullSafe(F.col("_id")), "left").select("text_sha256", "owner", "n", "first")
+    joined = rows.join(cut(several, "shared"), "text_sha256", "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("owner"))
+    kept = F.col("doc_id").eqNullSafe(keep) & (F.col("first").isNull() | (F.col("row") == F.col("first")))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "text_sha256", F.col("first").isNotNull().alias("repeated"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -205,26 +223,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids rank last). Of rows that repeat that id with that text, one stays. An
     empty table gives no rows; other columns are ignored.
     """
-    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANKS, " ")
-    rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
-    rows = rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    several = cut(shared_texts(docs, id_col, text_col), "owners").withColumnRenamed("sha256", "text_sha256")
-    joined = rows.join(several, "text_sha256", "left")
-    each = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("owner"))
-    return each.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    return _marked(docs, id_col, text_col).drop("repeated")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat an id and its text stay once."""
-    marks = exact_dedup(docs, id_col, text_col)
-    marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_times"))
-    marks = cut(marks.filter("_kept"), "kept")
+    marks = cut(_marked(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "repeated"), "kept")
     names = docs.columns
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
     here = F.col(f"_{names.index(id_col)}").cast("long")
     text = F.regexp_replace(F.coalesce(F.col(f"_{names.index(text_col)}").cast("string"), F.lit("")), BLANKS, " ")
-    once, again = marks.filter("_times = 1"), marks.filter("_times > 1")
+    once, again = marks.filter("NOT repeated"), marks.filter("repeated")
     same_id = here.eqNullSafe(F.col("_id"))
     same = same_id & (F.sha2(text.cast("binary"), 256) == F.col("_sha"))
     kept = flat.join(once, same, "left_semi")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corvane.llm import exact_dedup as x
 from corvane.llm.queries import ORACLE_SQL, QUERIES
@@ -59,3 +60,15 @@ def test_groups(spark, monkeypatch, budget):
     stays = x.keep_first(df)
     assert stays.columns == df.columns and sorted(key(r[1]) for r in stays.collect()) == sorted(groups)
     assert x.exact_dedup(df.limit(0)).count() == 0 and x.keep_first(df.limit(0)).count() == 0
+
+
+def test_hot_rows_stay_where_they_are(spark):
+    """A third of all rows with no id and no text: none of them is counted up and unfolded again in one task."""
+    n = 300_000
+    df = spark.range(0, n, 1, 12).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id") % 1000)).alias("text"))
+    out = x.exact_dedup(df)
+    row = out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"), F.max("group_size").alias("most")).first()
+    assert (row.n, row.most) == (n, n // 3) and row.kept == out.select("text_sha256").distinct().count()
+    parts = out.filter("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < n // 6
+    assert x.keep_first(df).count() == row.kept
