@@ -241,10 +241,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = narrow(pages, id=id_col, url=url_col, html=html_col).select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    groups = rows.filter(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    # Payloads with one SHA-1, which the records carry, may differ; those with one SHA-256 don't.
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("same", F.unhex(F.sha2("payload", 256))).withColumn("bytes", F.octet_length("payload"))
+    groups = rows.filter(F.col("bytes") >= min_bytes).groupBy("same").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups.filter("n > 1").drop("n"), "equal")
-    rows = rows.join(groups, "sha1", "left")
+    rows = rows.join(groups, "same", "left")
     is_revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     rows = rows.select("id", "url", "payload", "sha1", "keeper", is_revisit.alias("is_revisit"))
     return cut(rows.mapInArrow(_writer(folder), "path string, records long"), "archives")
