@@ -39,9 +39,9 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def feistel(symbols: str, bases: str, kind: str, key: str) -> str:
-    """SQL: array<int> of symbols, each below its base, permuted."""
+    """SQL: array<int> of symbols, each below its base, permuted; key is the name of a column."""
     other = "if(r % 2 = 1, slice(s, n div 2 + 1, n), slice(s, 1, n div 2))"
-    digest = f"sha2(concat_ws('|', {_text(key)}, {_text(kind)}, n, r, array_join(CAST({other} AS ARRAY<STRING>), ',')), 512)"
+    digest = f"sha2(concat_ws('|', {key}, {_text(kind)}, n, r, array_join(CAST({other} AS ARRAY<STRING>), ',')), 512)"
     shift = "CAST(conv(substr(k, 1 + 4 * (i % 32), 4), 16, 10) AS INT)"
     turn = _let("k", digest, f"transform(s, (x, i) -> if((r % 2 = 1) = (i < n div 2), CAST(pmod(x + {shift}, bases[i]) AS INT), x))")
     return _let("bases", bases, _let("n", f"size({symbols})", f"aggregate(sequence(1, {ROUNDS}), {symbols}, (s, r) -> {turn})"))
@@ -130,7 +130,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     of at most 63. Null and empty texts stay as they are, with an empty map; so
     does all other text and every other column, whatever its name. Texts of any
     length are searched whole, in one pass; equal values, also in repeated rows,
-    get equal pseudonyms. An empty table gives no rows.
+    get equal pseudonyms, as far as they are spelled alike: mail addresses that
+    differ in case and telephone numbers that differ in their separators are
+    different values. An empty table gives no rows.
     """
     names = docs.columns
     at = names.index(text_col)
@@ -138,7 +140,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(f"_{at}").cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     flat = flat.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    flat = flat.withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym('m', key)})"))
+    # A table of one row, so that plans, which are logged and shown, name the key and don't hold it.
+    flat = flat.withColumn("_secret", docs.sparkSession.sql("SELECT secret FROM VALUES (:key) AS t(secret)", args={"key": key}).scalar())
+    flat = flat.withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym('m', '_secret')})"))
     pieces = F.split(text, PATTERN, -1)
     joined = F.concat_ws("", F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_new", i), F.lit("")))))
     flat = flat.withColumn("_text", F.when(F.size("_found") > 0, joined).otherwise(text))

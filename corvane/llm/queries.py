@@ -23,7 +23,7 @@ from .warc_zip import round_trip
 from .whitening import whiten
 
 
-#: For tables that hold no real data; a run over others sets spark.corvane.pseudonym.key.
+#: For tables that hold no real data; a run over others sets spark.corvane.pseudonym.secret, which Spark redacts in its logs by that name.
 PUBLIC_KEY = "corvane pseudonyms"
 
 
@@ -52,7 +52,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    out = pseudonymise(docs, key=spark.conf.get("spark.corvane.pseudonym.key", PUBLIC_KEY))
+    out = pseudonymise(docs, key=spark.conf.get("spark.corvane.pseudonym.secret", PUBLIC_KEY))
     return out.select("doc_id", "text", F.to_json("pii").alias("pii"))
 
 

@@ -131,3 +131,13 @@ def test_empty_repeated_and_clashing(spark):
     assert sorted(found[3:], key=repr) == sorted([(2, "", "y", 2, {}), (2, None, "y", 2, {})], key=repr)
     empty = pii.pseudonymise(df.limit(0), KEY)
     assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_key_is_not_in_the_plan(spark, capsys):
+    df = spark.createDataFrame([(1, "mail a.person@example.org")], "doc_id long, text string")
+    out = pii.pseudonymise(df, "a most private key")
+    assert out.first().text != "mail a.person@example.org"
+    out.explain("extended")
+    plan = capsys.readouterr().out
+    assert "Physical Plan" in plan and "private" not in plan
+    assert "private" not in out._jdf.queryExecution().toString()
