@@ -35,6 +35,8 @@ KEEP, MERGE, RELABEL, INSERT, UNNAMED = 0, 1, 4, 2, 1
 NAMES = {"human": 1, "prompter": 1, "gpt": 2, "bot": 2, "model": 2, "ai": 2} | {r: i for i, r in enumerate(ROLES)}
 #: Turns of a part of a conversation, and parts, or groups of them, of a node of the tree.
 PART, FAN = 1024, 1024
+#: Bytes of a rendered conversation up to which its parts become one row.
+WHOLE = 1 << 27
 FAR = 1 << 40
 
 
@@ -265,17 +267,17 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """Conversations as training texts: conv_id, part, turns_in, turns_out, cost, merged, relabelled, inserted, roles, rendered.
 
     Turns go by number, null last, ties by role and text; repeated rows are
-    turns of their own. A conversation of more than PART turns has a row for
-    each PART of them, numbered from 0 and to be read in that order, since one
-    conversation may hold a third of all turns and a string no more than two
-    gigabytes; all others have one row. Unknown and null roles may become any
+    turns of their own. A conversation has one row, unless it renders to more
+    than WHOLE bytes: then it has one for each PART turns, numbered from 0 and
+    to be read in that order, since one conversation may hold a third of all
+    turns and a string no more than two gigabytes. Unknown and null roles may become any
     role at a small cost; null texts are empty; rows without conv_id are one
     conversation. An empty table gives no rows; other columns are ignored.
     """
     bounded_batches(turns.sparkSession)
     rows = narrow(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    key, given = ["conv_id", "part"], {"first": "int", "last": "int", "final": "boolean"}
+    given = {"first": "int", "last": "int", "final": "boolean"}
     long = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART)
     long, n_long = counted(long.select(F.col("conv_id").alias("_conv"), "n"), "long")
     short, same = rows, F.col("conv_id").eqNullSafe(F.col("_conv"))
@@ -289,7 +291,23 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         most = long.agg(F.max("n")).first()[0]
         states = _states(cut(matrices, "matrices"), -(-most // PART))
         parts = parts.join(states, ["no", "part"]).drop("no")
-    rows = short.withColumn("part", F.lit(0).cast("long")).withColumn("rank", F.lit(0).cast("long")).withColumns({c: F.lit(None).cast(t) for c, t in given.items()})
-    rows = rows if parts is None else rows.unionByName(parts)
-    rows = rows.repartition(*key).sortWithinPartitions(*key, "rank", F.asc_nulls_last("turn"), "role", "text").select(*key, "role", "text", *given)
-    return rows.mapInArrow(_repaired, _OUT)
+    rows = _rendered(short.withColumn("part", F.lit(0).cast("long")).withColumn("rank", F.lit(0).cast("long")).withColumns({c: F.lit(None).cast(t) for c, t in given.items()}))
+    return rows if parts is None else rows.unionByName(_whole(cut(_rendered(parts), "rendered")))
+
+
+def _rendered(rows: DataFrame) -> DataFrame:
+    """Every part repaired and rendered."""
+    key = ["conv_id", "part"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "rank", F.asc_nulls_last("turn"), "role", "text")
+    return rows.select(*key, "role", "text", "first", "last", "final").mapInArrow(_repaired, _OUT)
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    """The parts of conversations that aren't too large for it as one row each, the others as they are."""
+    sizes = parts.groupBy(F.col("conv_id").alias("_conv")).agg(F.sum(F.octet_length("rendered")).alias("_bytes"))
+    sized = parts.join(sizes, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    # A turn that goes on from the part before is named there already.
+    roles = F.when(F.size("roles") > F.col("turns_out"), F.slice("roles", 2, F.greatest(F.size("roles"), F.lit(2)))).otherwise(F.col("roles"))
+    small = sized.filter(F.col("_bytes") <= WHOLE).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", roles.alias("roles"), "rendered"))).alias("p"), *[F.sum(c).alias(c) for c in ("turns_in", "turns_out", "cost", "merged", "relabelled", "inserted")])
+    joined = small.select("conv_id", F.lit(0).cast("long").alias("part"), "turns_in", "turns_out", "cost", "merged", "relabelled", "inserted", F.flatten("p.roles").alias("roles"), F.array_join("p.rendered", "").alias("rendered"))
+    return joined.unionByName(sized.filter(F.col("_bytes") > WHOLE).drop("_bytes"))

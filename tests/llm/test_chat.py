@@ -64,6 +64,14 @@ def test_conversations(spark, monkeypatch):
     assert "a\n\na\n\nb" in whole[22].rendered and whole[22].merged == 2
     monkeypatch.setattr(chat, "PART", 5)
     monkeypatch.setattr(chat, "FAN", 2)
+    # However many parts it was repaired in, a conversation is one row.
+    joined = format_chats(df).collect()
+    assert len(joined) == len(whole)
+    for r in joined:
+        roles = re.findall(r"<\|im_start\|>(\w+)\n", r.rendered)
+        assert roles == r.roles and len(roles) == r.turns_out and legal([ROLES.index(x) for x in roles]) and r.part == 0
+        assert (r.cost, r.turns_in) == (whole[r.conv_id].cost, whole[r.conv_id].turns_in) and r.turns_in == r.turns_out + r.merged - r.inserted
+    monkeypatch.setattr(chat, "WHOLE", 0)
     parts = {}
     for r in sorted(format_chats(df).collect(), key=lambda r: (r.conv_id or -1, r.part)):
         parts.setdefault(r.conv_id, []).append(r)
@@ -80,6 +88,7 @@ def test_parts_go_by_rank(spark, monkeypatch):
     """Turns without numbers, with equal numbers and equal turns are dealt into parts of equal size too."""
     monkeypatch.setattr(chat, "PART", 4)
     monkeypatch.setattr(chat, "FAN", 3)
+    monkeypatch.setattr(chat, "WHOLE", 0)
     rows = [(1, None, "user", f"n{i:02d}") for i in range(30)] + [(2, 7, "user", "same")] * 50 + [(None, i * 10**6, "assistant", f"m{i:02d}") for i in range(25)] + [(4, 1, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     found = {}
