@@ -545,6 +545,12 @@ def tfidf_document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
+@query(O.TFIDF_VOCABULARY)
+def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100,000 most frequent words and pairs of words."""
+    return features.vocabulary(documents(spark, sf_dir), "text", (1, 2), 5, 100_000)
+
+
 def _predicted(spark: SparkSession, sf_dir: str, kind: str, max_features: int = 50_000, **params) -> DataFrame:
     """Predictions of the held-out fifth by a model of words and pairs of words."""
     docs = documents(spark, sf_dir).select("id", "doc_id", "text", F.col("modality").alias("label"))

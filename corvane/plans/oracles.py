@@ -302,6 +302,10 @@ def tfidf(table: str, ident: str, ngrams: int, min_df: int) -> str:
 TFIDF_TERMS = f"{tfidf('benchmark', 'item_id', 2, 2)} SELECT id, term, round(weight, 6) AS weight FROM weights"
 TFIDF_TOP = f"{tfidf('documents', 'doc_id', 1, 5)} SELECT term, count(*) AS n, round(sum(weight), 4) AS weight FROM weights GROUP BY term"
 
+TFIDF_VOCABULARY = f"""WITH words AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[{L}]{{2,}}') AS w, doc_id FROM documents),
+  g AS (SELECT doc_id, unnest(w) AS term FROM words UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words)
+  SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM g GROUP BY term HAVING count(DISTINCT doc_id) >= 5 ORDER BY total DESC, term LIMIT 100000"""
+
 # --- TEI
 _SAFE = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g')"
 TEI_EXTRACT = f"SELECT doc_id AS pos, 'd' || doc_id AS xml_id, source AS label_raw, lang AS modality, 'asr_party:p' || (doc_id % 4) AS domain, md5({key(_SAFE + chr(32) + '||' + chr(32) + chr(39) + ' tail' + chr(39))}) AS text_md5 FROM documents"
