@@ -22,8 +22,8 @@ def split_counters(df: DataFrame, ident: str = "id", text: str = "text", split:
 
 
 def _shared(df: DataFrame, split: str, value: str) -> DataFrame:
-    """Pairs of splits (a < b) that have a value in common: (a, b, value), once for each."""
-    sets = df.groupBy(value).agg(F.sort_array(F.collect_set(split)).alias("s")).filter(F.size("s") > 1)
+    """Pairs of splits (a < b) that have a value in common: (a, b, value), once for each; null is none."""
+    sets = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sort_array(F.collect_set(split)).alias("s")).filter(F.size("s") > 1)
     a = sets.select(value, "s", F.explode("s").alias("a"))
     return a.select(value, "a", F.explode(F.filter("s", lambda x: x > F.col("a"))).alias("b"))
 
@@ -57,7 +57,7 @@ def _smallest(ids: DataFrame, n: int) -> DataFrame:
 def split_alias(df: DataFrame, a: str = "job", b: str = "test", ident: str = "id", text: str = "text", split: str = "split", key: str | None = None) -> DataFrame:
     """One row: whether two splits have the same sets of ids and of texts."""
     rows = df.filter(F.col(split).isin(a, b)).select(F.col(split).alias("_s"), F.array(F.struct(F.lit("id").alias("k"), F.col(ident).cast("string").alias("v")), F.struct(F.lit("text").alias("k"), _hash(text, key).alias("v"))).alias("x"))
-    sides = rows.select("_s", F.explode("x").alias("x")).groupBy("x.k", "x.v").agg(F.countDistinct("_s").alias("n"))
+    sides = rows.select("_s", F.explode("x").alias("x")).filter("x.v IS NOT NULL").groupBy("x.k", "x.v").agg(F.countDistinct("_s").alias("n"))
     return sides.agg(F.coalesce(F.min("n") == 2, F.lit(False)).alias("is_alias"))
 
 

@@ -160,14 +160,30 @@ def remove_leaks(df: DataFrame, **columns: str) -> DataFrame:
     return leak_marks(df, **columns).filter("not leaked").drop("leaked")
 
 
+def _first_in_order(df: DataFrame, n: int, *keys: Column) -> DataFrame:
+    """The first n rows in the order of some keys.
+
+    Only keys are ordered, n of them at most in one task; whole rows are then
+    filtered by the last one.
+    """
+    rows = df.withColumn("_k", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    last = rows.select("_k").orderBy("_k").limit(n).agg(F.max("_k").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    if last["n"] < n:
+        return df
+    end = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last["k"], rows.schema["_k"].dataType)])
+    below = rows.filter(F.col("_k") < end)
+    # Rows that repeat the last keys are alike in this order: as many as are missing.
+    ties = rows.filter(F.col("_k").eqNullSafe(end)).limit(n - below.count())
+    return below.unionByName(ties).drop("_k")
+
+
 def limit(df: DataFrame, n: int, mode: str = "head", seed: int = 42, ident: str = "id", pos: str = "pos") -> DataFrame:
     """The first n rows by position, or a seeded sample of n; n of 0 keeps all."""
     if n <= 0:
         return df
     if mode in ("random", "shuffle"):
-        df = df.withColumn("_h", hash_order(seed, "limit", ident))
-        return df.orderBy("_h", ident).limit(n).drop("_h")
-    return df.orderBy(pos).limit(n)
+        return _first_in_order(df, n, hash_order(seed, "limit", ident), F.col(ident))
+    return _first_in_order(df, n, F.col(pos))
 
 
 def subsample(df: DataFrame, n: int = 1000, seed: int = 42, ident: str = "id", pos: str = "pos") -> DataFrame:
@@ -176,22 +192,8 @@ def subsample(df: DataFrame, n: int = 1000, seed: int = 42, ident: str = "id", p
 
 
 def shuffled_head(df: DataFrame, n: int, seed: int = 42, ident: str = "id") -> DataFrame:
-    """The hardware cap: the first n rows in shuffled order.
-
-    Only hashes and ids are ordered, n of them at most in one task; whole rows
-    are then filtered by the last one.
-    """
-    if not n:
-        return df
-    rows = df.withColumn("_k", F.struct(hash_order(seed, "shuffle", ident).alias("h"), F.col(ident).alias("i")))
-    last = rows.select("_k").orderBy("_k").limit(n).agg(F.max("_k").alias("k"), F.count(F.lit(1)).alias("n")).first()
-    if last["n"] < n:
-        return df
-    end = F.struct(F.lit(last["k"]["h"]).alias("h"), F.lit(last["k"]["i"]).cast(df.schema[ident].dataType).alias("i"))
-    below = rows.filter(F.col("_k") < end)
-    # Rows that repeat the last id are alike in this order: as many as are missing.
-    ties = rows.filter(F.col("_k").eqNullSafe(end)).limit(n - below.count())
-    return below.unionByName(ties).drop("_k")
+    """The hardware cap: the first n rows in shuffled order."""
+    return _first_in_order(df, n, hash_order(seed, "shuffle", ident), F.col(ident)) if n else df
 
 
 def sample_where(df: DataFrame, condition: Column, n: int, seed: int = 52, ident: str = "id") -> DataFrame:

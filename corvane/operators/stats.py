@@ -68,9 +68,9 @@ def robust_limits(df: DataFrame, *columns: str, low: float = 0.01, high: float =
         for i, (name, p) in enumerate(shares.items()):
             asked.append((c, name, p * (n - 1), found[c][2 * i], found[c][2 * i + 1]))
     targets = df.sparkSession.createDataFrame(asked, "column string, name string, at double, first double, last double")
-    near = values.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(targets), "column").filter("v <= last")  # two targets a column
-    below = near.filter("v < first").groupBy("column", "name").agg(F.sum("n").alias("below"))
-    inside = near.filter("v >= first").join(below, ["column", "name"], "left")
+    near = values.join(F.broadcast(targets), "column").filter("v <= last")  # two targets a column
+    below = near.filter("v < first").groupBy("column", "name").agg(F.count(F.lit(1)).alias("below"))
+    inside = near.filter("v >= first").groupBy("column", "name", "at", "v").agg(F.count(F.lit(1)).alias("n")).join(below, ["column", "name"], "left")
     upto = F.sum("n").over(Window.partitionBy("column", "name").orderBy("v"))
     inside = inside.withColumn("upto", upto + F.coalesce("below", F.lit(0)))
     place = lambda whole: F.min(F.when(F.col("upto") > whole("at"), F.col("v")))

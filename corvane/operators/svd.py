@@ -27,8 +27,7 @@ def leading_vectors(df: DataFrame, width: int, wanted: int, tol: float = 1e-5, m
         def task(found: Iterable[tuple[int, Rows]], q: np.ndarray = q) -> np.ndarray:
             return sum((rows.transposed_times(rows.times(q)) for _, block in found for rows in block.slices()), np.zeros(q.shape))
 
-        total = summed(df, task)
-        z = total.reshape(width, size) if len(total) else np.zeros((width, size))
+        z = summed(df, task, q.size).reshape(width, size)
         values, turn = np.linalg.eigh(q.T @ z)
         values, turn = values[::-1], turn[:, ::-1]
         q, z = q @ turn, z @ turn
