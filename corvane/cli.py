@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config
+from .functions.text import text_hash
 from .operators import audit, models, stats
 from .plans import pipeline
 from .sources import reports, tei, tsv
@@ -39,11 +40,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out", default="reports/summary.tsv")
     p = sub.add_parser("audit-tei")
     p.add_argument("path")
+    p.add_argument("--name", default="corpus")
     p.add_argument("--issues")
     p.add_argument("--out-json")
     p.add_argument("--fail-on-critical", action="store_true")
     p = sub.add_parser("audit-splits")
     p.add_argument("folder")
+    p.add_argument("--out-json")
+    p.add_argument("--fail-on-leak", "--strict", action="store_true")
     p = sub.add_parser("stats")
     p.add_argument("tsv", nargs="+")
     p.add_argument("--out-prefix")
@@ -65,6 +69,24 @@ def audit_corpus(spark: SparkSession, path: str, issues: str | None = None) -> t
     return summary, audit.critical_flags(whole)
 
 
+def audit_splits(spark: SparkSession, folder: str) -> dict:
+    """Counters of a folder's splits, and what any two of them share; a job split that is the test split again shares nothing."""
+    rows, columns = tsv.read_audited(spark, {s: f"{folder}/{s}.tsv" for s in ("train", "dev", "test", "job")})
+    rows = rows.select("split", "id", F.when(F.col("text") != "", text_hash("text")).alias("hash")).persist()
+    alias = {"job", "test"} <= set(columns) and bool(audit.split_alias(rows, key="hash").first()[0])
+    counters = {r["split"]: r.asDict() for r in audit.split_counters(rows, key="hash").collect()}
+    splits = {s: {"rows": 0, "unique_ids": 0, "unique_text_hash": 0, **{k: v for k, v in counters.get(s, {}).items() if k != "split"}, "columns": c, **({"alias_of": "test"} if alias and s == "job" else {})} for s, c in columns.items()}
+    compared = [s for s in columns if not (alias and s == "job")]
+    shared = {frozenset((r["a"], r["b"])): r for r in audit.split_overlap(rows.filter(F.col("split").isin(compared)), key="hash").collect()}
+    overlap = []
+    for i, a in enumerate(compared):
+        for b in compared[i + 1 :]:
+            found = shared.get(frozenset((a, b)))
+            overlap.append({"pair": f"{a}__{b}", "id_overlap": found["id_overlap"] if found else 0, "text_hash_overlap": found["text_hash_overlap"] if found else 0, "sample_ids": list(found["sample_ids"]) if found else []})
+    rows.unpersist()
+    return {"dir": folder, "splits": splits, "job_is_test_alias": alias, "overlap": overlap, "leak_detected": any(o["id_overlap"] or o["text_hash_overlap"] for o in overlap)}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
@@ -73,19 +95,23 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "audit-tei":
         summary, critical = audit_corpus(spark, args.path, args.issues)
-        print(json.dumps(summary | {"critical": critical}, ensure_ascii=False, indent=2))
+        found = {"corpus": args.name, **summary, "critical": critical}
+        print(json.dumps(found, ensure_ascii=False, indent=2))
         if args.out_json:
-            reports.write_json(spark, args.out_json, summary | {"critical": critical})
+            reports.write_json(spark, args.out_json, found)
         return 2 if critical and args.fail_on_critical else 0
     if args.command == "audit-splits":
         try:
-            rows = tsv.read_audited(spark, {s: f"{args.folder}/{s}.tsv" for s in ("train", "dev", "test", "job")})
+            found = audit_splits(spark, args.folder)
         except FileNotFoundError as e:
             print(f"no split to audit: {e}", file=sys.stderr)
             return 2
-        found = {"splits": [r.asDict() for r in audit.split_counters(rows).collect()], "pairs": [r.asDict() for r in audit.split_overlap(rows).collect()], "job_is_test": audit.split_alias(rows).first()[0]}
         print(json.dumps(found, ensure_ascii=False, indent=2))
-        return 0
+        if args.out_json:
+            reports.write_json(spark, args.out_json, found)
+        if found["leak_detected"]:
+            print("splits share ids or texts", file=sys.stderr)
+        return 2 if found["leak_detected"] and args.fail_on_leak else 0
     if args.command == "stats":
         rows = None
         for path in args.tsv:

@@ -42,7 +42,7 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Every run of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(c, f"[{WHITE}]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{WHITE}]+", " "))
 
 
 def lower_collapse(c: Column | str) -> Column:
@@ -50,8 +50,8 @@ def lower_collapse(c: Column | str) -> Column:
 
 
 def text_key(c: Column | str) -> Column:
-    """Lower case, punctuation as space, white space collapsed: what duplicates share."""
-    return collapse(F.regexp_replace(F.lower(text_of(c)), f"[^{WORD}{WHITE}]+", " "))
+    """Lower case, punctuation as space, white space collapsed: what duplicates share. Both are runs of anything but word characters."""
+    return F.trim(F.regexp_replace(F.lower(text_of(c)), f"[^{WORD}]+", " "))
 
 
 def text_hash(c: Column | str) -> Column:

@@ -304,6 +304,14 @@ def leak_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.remove_leaks(_split(spark, sf_dir), key="text_hash").select("doc_id", "split")
 
 
+@query()
+def leak_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leak removal where ids repeat: source and length of a document stand for its id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos"), F.concat_ws("-", "source", "n_chars").alias("id"), F.col("source").alias("label"), T.text_hash("text").alias("text_hash"))
+    parts = splits.three_way(docs.withColumn("own", F.col("id")).withColumn("id", F.col("doc_id").cast("string")))
+    return dedup.remove_leaks(parts.withColumn("id", F.col("own")).drop("own"), key="text_hash").select("doc_id", "split")
+
+
 @query(O.LEAK_REMOVED_COUNTS)
 def leak_removed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.counts(dedup.leak_marks(_split(spark, sf_dir), key="text_hash").filter("leaked"), "split")

@@ -137,7 +137,9 @@ def formats(spark: SparkSession, profile: Profile, out: str) -> dict:
             whole = filters.long_texts(whole, profile.spacy_max_chars, profile.spacy_long_text_policy)
         shard = int(profile.hardware.get("spacy_shard_docs") or 10_000)
         for s in dedup.SPLITS:
-            reports.write_shards(reports.one_hot(whole.filter(F.col("split") == s), names), f"{folder}/cats/{s}.parquet", shard)
+            rows = whole.filter(F.col("split") == s)
+            rows = dedup.limit(rows, profile.cap("spacy") or 0) if s == "train" else rows  # the hardware cap: the first ones
+            reports.write_shards(reports.one_hot(rows, names), f"{folder}/cats/{s}.parquet", shard)
         manifest["cats"] = {s: f"{folder}/cats/{s}.parquet" for s in dedup.SPLITS} | {"labels": names}
     reports.write_json(spark, f"{folder}/meta_formats.json", manifest)
     return manifest

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The columns of the summary, in order.
+#: The columns of the summary, in order.
 SUMMARY = (
     "corpus_id", "view", "family", "model_id", "profile", "label_field", "pipeline_version", "n_eval_docs", "accuracy", "macro_f1",
     "balanced_accuracy_by_corpus_id", "balanced_macro_f1_by_corpus_id", "precision_macro", "recall_macro",
@@ -69,7 +69,6 @@ def one_hot(df: DataFrame, labels: list[str], ident: str = "id", label: str = "l
     return df.withColumn("cats", cats)
 
 
-def write_shards(df: DataFrame, path: str, shard_docs: int = 10_000, most: int = 0) -> None:
-    """Parquet files of at most so many documents each, of the first ones if there is a most."""
-    rows = df.limit(most) if most else df
-    rows.write.mode("overwrite").option("maxRecordsPerFile", shard_docs).parquet(path)
+def write_shards(df: DataFrame, path: str, shard_docs: int = 10_000) -> None:
+    """Parquet files of at most so many documents each."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", shard_docs).parquet(path)

@@ -79,22 +79,32 @@ def sniff(columns: list[str]) -> tuple[str, str | None]:
     return text, next((c for c in ID_NAMES if c in columns), None)
 
 
-def read_audited(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Splits by name as (split, id, text); the columns are those of the first file. Missing files are left out; if all are, that is an error."""
+def read_audited(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, dict]]:
+    """Splits by name as rows (split, id, text), and the columns that were taken in each; missing files are left out, and if all are, that is an error.
+
+    The first file's columns are taken in every file that has them; another
+    file is looked at anew. A row without an id gets none that another has.
+    """
     out = None
+    taken: dict[str, dict] = {}
     names: tuple[str, str | None] | None = None
     for split, path in paths.items():
         df = _present(spark, path)
         if df is None:
             continue
-        names = names or sniff(df.columns)
-        text, ident = names
-        get = lambda c: F.col(c) if c in df.columns else F.lit("")  # noqa: E731, B023
-        part = df.select(F.lit(split).alias("split"), (get(ident) if ident else F.lit("")).alias("id"), get(text).alias("text"))
+        if names is None or not {c for c in names if c} <= set(df.columns):
+            text, ident = sniff(df.columns)
+        else:
+            text, ident = names
+        names = names or (text, ident)
+        taken[split] = {"id": ident, "text": text}
+        own = strip(F.col(f"`{ident}`")) if ident else F.lit("")
+        own = F.when(own == "", F.concat(F.lit(f"__no_id__:{split}:"), F.monotonically_increasing_id().cast("string"))).otherwise(own)
+        part = df.select(F.lit(split).alias("split"), own.alias("id"), strip(F.col(f"`{text}`")).alias("text"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"none of {list(paths.values())}")
-    return out
+    return out, taken
 
 
 def read_positional(spark: SparkSession, path: str) -> DataFrame:

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions.text import hash_order
+from corvane.functions.text import hash_order, text_hash
 from corvane.operators import balance, components, dedup, filters, metrics, models, ranks, sets, splits, stats
+from corvane.plans import catalog
 
 
 def test_hash_ranks_equal_a_window(spark):
@@ -81,6 +82,14 @@ def test_walk_by_components(spark, most, seed):
     assert {(r["_stays"].s, r["_stays"].p) for r in found} == _greedy(rows) and len(found) == len(_greedy(rows))
 
 
+def test_leak_walk_query(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.concat_ws("-", "source", "n_chars").alias("own"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("label"), text_hash("text").alias("h"))
+    rows = [((dedup.SPLITS.index(r.split), r.doc_id), r.own, r.h) for r in splits.three_way(docs).collect()]
+    found = {(dedup.SPLITS.index(r.split), r.doc_id) for r in catalog.leak_walk(spark, folder).collect()}
+    assert found == _greedy(rows) and len(found) < len(rows)
+
+
 def test_long_chain(spark):
     """A chain of 100,000 rows that decide each other, one after the other."""
     n = 100_000

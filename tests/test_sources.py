@@ -4,6 +4,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from corvane import cli
 from corvane.operators import audit
 from corvane.sources import dims, reports, tei, tsv
 
@@ -112,7 +113,7 @@ def test_tsv_round_trip(spark, tmp_path):
     assert tsv.stripped(tsv.read_tsv(spark, f"{folder}/train.tsv")).count() == 2
     assert tsv.sniff(["a", "content", "doc_id"]) == ("content", "doc_id") and tsv.sniff(["a", "b"]) == ("b", None)
     assert tsv.read_positional(spark, f"{folder}/test.tsv").columns == ["text", "label"]
-    assert tsv.read_audited(spark, {s: f"{folder}/{s}.tsv" for s in ("train", "test")}).count() == 4
+    assert tsv.read_audited(spark, {s: f"{folder}/{s}.tsv" for s in ("train", "test")})[0].count() == 4
     with pytest.raises(FileNotFoundError):
         tsv.read_evaluation(spark, f"file://{tmp_path}/none")
 
@@ -138,3 +139,24 @@ def test_summary(spark, tmp_path):
     rows = {r.model_id: r for r in reports.run_summary(spark, f"file://{tmp_path}").collect()}
     assert (rows["m1"].corpus_id, rows["m1"].view, rows["m1"].accuracy, rows["m1"].n_eval_docs, rows["m2"].accuracy) == ("corpus", "view", "0.5", "3", "")
     assert tuple(reports.run_summary(spark, f"file://{tmp_path}").columns) == reports.SUMMARY
+
+
+def test_split_audit(spark, tmp_path, capsys):
+    """A file of its own columns, rows without ids, empty texts, a job split that is the test split, and the exit status."""
+    folder = f"file://{tmp_path}"
+    files = {
+        "train": "id\ttext\n1\tOne text\n2\tsecond\n\tno id\n3\t\n", "dev": "doc_id\tcontent\n7\tONE  text!\n\tother\n8\t\n",
+        "test": "id\ttext\n2\tthird\n9\tfourth\n", "job": "id\ttext\n9\tfourth\n2\tthird\n",
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.tsv").write_text(content)
+    found = cli.audit_splits(spark, folder)
+    assert found["splits"]["dev"] == {"rows": 3, "unique_ids": 3, "unique_text_hash": 2, "columns": {"id": "doc_id", "text": "content"}}
+    assert found["splits"]["train"]["unique_text_hash"] == 3 and found["splits"]["job"]["alias_of"] == "test" and found["job_is_test_alias"]
+    pairs = {o["pair"]: (o["id_overlap"], o["text_hash_overlap"], o["sample_ids"]) for o in found["overlap"]}
+    assert pairs == {"train__dev": (0, 1, []), "train__test": (1, 0, ["2"]), "dev__test": (0, 0, [])} and found["leak_detected"]
+    assert cli.main(["audit-splits", folder, "--out-json", f"{folder}/found.json"]) == 0
+    assert json.loads((tmp_path / "found.json").read_text())["overlap"] == found["overlap"]
+    assert cli.main(["audit-splits", folder, "--strict"]) == cli.main(["audit-splits", folder, "--fail-on-leak"]) == 2
+    (tmp_path / "train.tsv").write_text("id\ttext\n5\tnew\n")
+    assert cli.main(["audit-splits", folder, "--strict"]) == 0
