@@ -253,8 +253,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     A document's ids are those of its whole text (null: empty) and the end id.
     Only documents longer than the capacity are cut, at its multiples; every
     piece lies whole in one sequence and the pieces of a sequence follow each
-    other without gaps. Rows that repeat an id are documents of their own, null
-    ids are allowed, an empty table gives no rows and other columns are ignored.
+    other without gaps. Pieces of equal length are alike: which of them goes where
+    follows from their place in the table. Texts of any length are read whole.
+    Rows that repeat an id are documents of their own, null ids are allowed, an
+    empty table gives no rows and other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))

@@ -52,7 +52,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, buckets: int = 1 << 16, id_
     texts are one group. The law is ``bytes``: the fullest shard is as small as
     contiguous buckets allow, and equal texts share a shard. Slots number each
     shard gaplessly from 0, in any order within a text's bucket; ids may be null
-    and repeat. An empty table gives no rows; other columns are ignored.
+    and repeat. A text of any length counts whole, and one larger than a shard's
+    fair share makes the capacity. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = narrow(docs, doc_id=id_col, text=text_col).select(

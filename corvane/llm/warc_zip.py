@@ -301,7 +301,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFram
     """Write the pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     The archives are removed again. An empty table gives no rows, repeated rows
-    a record each; other columns are ignored.
+    a record each; rows without an id revisit, and are responses where no row
+    with their payload has an id; other columns are ignored.
     """
     folder = new_folder(pages.sparkSession, "warc")
     try:

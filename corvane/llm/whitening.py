@@ -220,8 +220,8 @@ def whiten(vectors: DataFrame, components: int = 16, scale: int = 64, shift: int
     """Each vector on the first components: vec_id, component, n, deviation, whitened, explained, identity_error.
 
     Entries become floor(scale * c) + shift; vectors that are null, or hold null
-    or non-finite entries, go. Components are fitted on every different vector
-    once, n of them. ``deviation`` is the exact sum over dimensions of
+    or non-finite entries, go; an entry that becomes no 64-bit number is an
+    error. Components are fitted on every different vector once, n of them. ``deviation`` is the exact sum over dimensions of
     (n * x - sum)^2. Ids may be null and repeat: every row is whitened, equal
     vectors alike. Vectors of another length are a space of their own, with its
     own n; those of length 0 have no components and no rows. A component
