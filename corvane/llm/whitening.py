@@ -42,8 +42,9 @@ class Factor:
     @classmethod
     def of(cls, x: np.ndarray) -> Factor:
         """Of integer vectors; centred exactly, before anything is multiplied."""
-        n, sums = len(x), x.sum(0)
-        return cls(n, sums, _reduced((n * x - sums) / n))
+        n, whole = len(x), _roomy(x, len(x))
+        sums = whole.sum(0)
+        return cls(n, sums, _reduced(((n * whole - sums) / n).astype(np.float64)))
 
     def merged(self, *others: Factor) -> Factor:
         """Together with others: one decomposition of all rows and the corrections of the means."""
@@ -56,6 +57,12 @@ class Factor:
         return Factor(n, sums, _reduced(np.concatenate(rows)))
 
 
+def _roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """Whole numbers, n times which don't overflow: Python's where 64 bits don't do."""
+    most = max(int(x.max(initial=0)), -int(x.min(initial=0)), 1)
+    return x if 2 * n * most < 2**62 else x.astype(object)
+
+
 def _reduced(rows: np.ndarray) -> np.ndarray:
     """As many rows as dimensions at most, with the same products: singular values times right vectors."""
     _, s, vt = np.linalg.svd(rows, full_matrices=False)
@@ -120,8 +127,7 @@ class Whitener:
 
     def centred(self, x: np.ndarray) -> np.ndarray:
         """n * x - sums, exactly."""
-        most = max(int(np.abs(x).max(initial=0)), 1)
-        return self.n * x - self.sums if 2 * self.n * most < 2**62 else self.n * x.astype(object) - self.sums.astype(object)
+        return self.n * _roomy(x, self.n) - self.sums
 
     def whitened(self, centred: np.ndarray) -> np.ndarray:
         """The projections over their deviations; nan where a component has no variance."""

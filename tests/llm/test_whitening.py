@@ -99,6 +99,11 @@ def test_deviations_beyond_64_bits():
     assert int(model.deviations(centred)[0].as_py()) == sum((10**9 * c - s) ** 2 for c, s in zip(x, [3 * 10**15, 10**15])) > 2**63
 
 
+def test_large_entries(spark):
+    vectors = [(i, [float(1 << 46) * (i % 5 - 2), float(i)]) for i in range(200)]
+    check(whitening.whiten(spark.createDataFrame([(*v, 1, "x", 2) for v in vectors], SCHEMA).repartition(3)).collect(), vectors)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     vectors = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
