@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, balance, dedup, features, filters, labels, metrics, models, sets, splits, stats
+from ..shared import checkpointed
 from ..shipping import ship
 from ..sources import dims, reports, tei
 from . import oracles as O
@@ -561,8 +562,11 @@ def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _predicted(spark: SparkSession, sf_dir: str, kind: str, max_features: int = 50_000, **params) -> DataFrame:
     """Predictions of the held-out fifth by a model of words and pairs of words."""
-    docs = documents(spark, sf_dir).select("id", "doc_id", "text", F.col("modality").alias("label"))
-    docs = splits.two_way(docs, 0.8)
+    docs = documents(spark, sf_dir).select("id", "doc_id", F.col("modality").alias("label"))
+    # Only ids and labels are ranked; texts join their split once.
+    part = splits.two_way(docs, 0.8).select(F.col("doc_id").alias("_doc"), "label", "split")
+    texts = documents(spark, sf_dir).select("id", "doc_id", "text")
+    docs = texts.join(checkpointed(part), F.col("doc_id") == F.col("_doc")).drop("_doc")
     model = models.train(docs.filter("split = 'train'"), models.Settings(kind, kind, params, (1, 2), max_features, 5))
     return models.predict(model, docs.filter("split = 'test'")).select("doc_id", "label", "prediction")
 
