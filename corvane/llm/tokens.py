@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from .common import claim
 
 #: Chunks and parts of chunks that a worker remembers, and the longest it remembers.
-REMEMBER, LONGEST = 200_000, 48
+REMEMBER, LONGEST = 100_000, 48
 #: ASCII punctuation, but for the apostrophe, which may begin a token with the letters after it.
 _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: Words of which normalisation lowers the case and nothing else, and which pre-tokenization keeps whole.
