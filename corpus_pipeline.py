@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.common import cut, table
+from corvane.llm.common import bounded_batches, cut, table
 from corvane.llm.exact_dedup import keep_first
 from corvane.llm.language_id import keep_identified
 from corvane.llm.mixing import mix
@@ -18,19 +18,25 @@ from corvane.llm.near_dedup import keep_one_of_each
 from corvane.llm.packing import pack
 from corvane.llm.queries import tokenizer_path
 
+#: Bytes of an Arrow batch: executors that have run several stages hold more than those of one operator.
+BATCH = 2 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; letterless ones and those unlike any language go."""
+    bounded_batches(spark, BATCH)
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
+    bounded_batches(spark, BATCH)
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate classes, the document with the smallest id."""
+    bounded_batches(spark, BATCH)
     return keep_one_of_each(docs)
 
 
@@ -41,6 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in a sequence."""
+    bounded_batches(spark, BATCH)
     return pack(docs, tokenizer_path())
 
 

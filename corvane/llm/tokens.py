@@ -14,7 +14,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-from .common import claim
+from .common import claim, trim
 
 #: Chunks and parts of chunks that a worker remembers, and the longest it remembers.
 REMEMBER, LONGEST = 100_000, 48
@@ -137,4 +137,5 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     claim("tokens", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = ChunkTokenizer(path)
+        trim()  # what reading the file took
     return _TOKENIZERS[path]

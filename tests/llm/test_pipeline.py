@@ -132,3 +132,18 @@ def test_runs_and_claims():
     assert not gone
     claim("b")
     assert gone == ["a"]
+
+
+def test_stages_hold_arrow_batches_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+        assert corpus_pipeline.packing(spark, docs, "").count() == 2
+        assert spark.conf.get(key).rstrip("b") == str(2 << 20)
+        spark.conf.set(key, "123456")  # a session's own setting stays
+        corpus_pipeline.exact_dedup(spark, docs, "")
+        assert spark.conf.get(key).rstrip("b") == "123456"
+    finally:
+        spark.conf.set(key, before)
