@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 
 from .common import claim
@@ -25,7 +26,8 @@ _TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Bytes that begin a character that may be white space.
 _UNSURE = frozenset([*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3])
 _SURE_SPACE = re.compile(rb" (?=[!-~])")
-_SURE_LINE = re.compile(rb"(?<=[!-~])\n(?=[!-~])")
+#: The line feed first: it is searched for.
+_SURE_LINE = re.compile(rb"\n(?<=[!-~]\n)(?=[!-~])")
 _PROBES = [" a", "the", " straße", "été", " ungewöhnlich", " ÿzq", "niño"]
 
 
@@ -37,27 +39,27 @@ class ByteTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()) or b"(?!)")
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = "".join(letters.get(b, chr(b)) for b in range(256))
+        #: Ids of chunks after a space or, where they begin with one, after a sure line feed; None where it isn't sure.
         self.known: dict[bytes, bytes | None] = {}
-        #: Ids of ASCII words after a space, and of all other parts.
+        #: Ids of words of letters after a space, and of all other parts.
         self.spaced: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-        self.space = self.letters[32]
-        self.direct = True
-        self.direct = all(self._model(w) == self._encoded([w])[0] for w in _PROBES)
+        self.direct = all(self._word(w.encode()) == self._encoded(w.encode()) for w in _PROBES)
+        self.line = self._encoded(b"\n")
 
-    def _model(self, word: str) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         """Ids of a word that pre-tokenization leaves whole."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(charmap_decode(word, "strict", self.letters)[0])]).tobytes()
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, part: bytes) -> bytes:
+        return array("I", self.whole.encode_batch_fast([part.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
 
     def _remembered(self, part: bytes, plain: bool) -> bytes:
         ids = self.words.get(part)
         if ids is None:
-            text = part.decode("utf-8", "replace")
-            ids = self._model(text) if plain and self.direct else self._encoded([text])[0]
+            ids = self._word(part) if plain and self.direct else self._encoded(part)
             if len(part) <= LONGEST:
                 self.words[part] = ids
         return ids
@@ -66,41 +68,44 @@ class ByteTokenizer:
         """Ids of text between sure places: an optional space, a word, punctuation."""
         core = chunk.rstrip(_TAIL)
         word = core.removeprefix(b" ")
-        plain = word.isalpha() or (word and _PLAIN(word.decode("utf-8", "replace")) is not None)
-        if plain:
+        if word.isalpha() or _PLAIN(word.decode("utf-8", "replace")):
             return self._remembered(core, True) + (self._remembered(chunk[len(core) :], False) if len(core) < len(chunk) else b"")
         if b"\n" in word:
             lines = _SURE_LINE.split(chunk)
             if len(lines) > 1:
-                return self._remembered(b"\n", False).join(map(self._chunk, lines))
+                return self.line.join(map(self._chunk, lines))
         return self._remembered(chunk, False)
 
     def _learn(self, fresh: Iterable[bytes]) -> None:
-        """Ids of chunks with the space before them; None for those that may begin with white space, or with nothing."""
-        known, spaced, tokenize, tail = self.known, self.spaced, self.model.tokenize, _TAIL
+        """Ids of chunks with the space or line feed before them; None for those that may begin with white space, or with nothing."""
+        known, spaced, words, letters, tokenize = self.known, self.spaced, self.words, self.letters, self.model.tokenize
         for chunk in fresh:
-            core = chunk.rstrip(tail)
-            if core.isalpha() and self.direct:  # ASCII letters: the most common case, without detours
+            core = chunk.rstrip(_TAIL)
+            if self.direct and (core.isalpha() or _PLAIN(core.decode("utf-8", "replace"))):  # the most common case, without detours
                 ids = spaced.get(core)
                 if ids is None:
-                    spaced[core] = ids = array("I", [t.id for t in tokenize(self.space + core.decode())]).tobytes()
-                known[chunk] = ids if len(core) == len(chunk) else ids + self._remembered(chunk[len(core) :], False)
-            elif not chunk or chunk[0] in _UNSURE:
-                known[chunk] = None
+                    spaced[core] = ids = array("I", [t.id for t in tokenize(charmap_decode(b" " + core, "strict", letters)[0])]).tobytes()
+                if len(core) < len(chunk):
+                    tail = chunk[len(core) :]
+                    ids += words.get(tail) or self._remembered(tail, False)
+                known[chunk] = ids
+            elif chunk[:1] == b"\n" and len(chunk) > 1 and chunk[1] not in _UNSURE:
+                known[chunk] = self.line + self._chunk(chunk[1:])
             else:
-                known[chunk] = self._chunk(b" " + chunk)
+                known[chunk] = None if not chunk or chunk[0] in _UNSURE else self._chunk(b" " + chunk)
 
     def _carefully(self, text: bytes) -> bytes:
         if self.special.search(text):
-            return self._encoded([text.decode("utf-8", "replace")])[0]
+            return self._encoded(text)
         first, *others = _SURE_SPACE.split(text)
         return self._chunk(first) + b"".join(self._chunk(b" " + c) for c in others)
 
     def ids(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         texts = list(texts)
-        split = [t.split(b" ") for t in texts]
-        wanted: set[bytes] = set().union(*split)
+        # A line feed after a space is no sure one, and what it begins must not pass for one.
+        split = [[t] if b" \n" in t else _SURE_LINE.sub(b" \n", t).split(b" ") for t in texts]
+        wanted: set[bytes] = set().union(*[chunks[1:] for chunks in split])
         fresh = wanted.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBER:
             self.known = {c: self.known[c] for c in wanted.difference(fresh)}
@@ -109,14 +114,12 @@ class ByteTokenizer:
                 held.clear()
         self._learn(fresh)
         look = self.known.__getitem__
-        for text, chunks in zip(texts, split):
+        for text, (first, *chunks) in zip(texts, split):
             try:
-                if self.special.search(text):
+                if b" \n" in text or self.special.search(text):
                     yield self._carefully(text)
                 else:
-                    first = self._chunk(chunks[0])
-                    del chunks[0]
-                    yield first + b"".join(map(look, chunks))
+                    yield self._chunk(first) + b"".join(map(look, chunks))
             except TypeError:  # a chunk without ids of its own
                 yield self._carefully(text)
         for chunk in fresh:

@@ -80,3 +80,12 @@ def test_query(spark, tokenizer):
     folder = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     check(op11_power_of_two(spark, folder).collect(), docs, tokenizer, 1024, decomposition.BATCH)
+
+
+def test_words_around_line_feeds_are_learned_apart():
+    tokenizer = ByteTokenizer(PATH)
+    texts = [f"of {a}.\nThe {a}, {b}.\nThe {b}" for a in ("erst", "été", "12") for b in ("lyan", "über", "don't")] + ["of erst. \nThe lyan.", "of erst.\n\nThe lyan.", "of erst\xa0\nThe lyan.\n", " \nThe", "\nThe\n"]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in tokenizer.ids([t.encode() for t in texts])]
+    assert found == [tokenizer.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(b"\n" not in chunk.strip(b"\n") for chunk in tokenizer.known if b"\n\n" not in chunk and b"\xa0" not in chunk)
+    assert b"\nThe" in tokenizer.known
